@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import byte_bpe, exact_dedup
 from .common import documents
 
 QUERIES = {
     "op2_exact_dedup": lambda spark, sf_dir: exact_dedup.query(documents(spark, sf_dir)),
+    "op5_byte_bpe": lambda spark, sf_dir: byte_bpe.query(documents(spark, sf_dir)),
 }
 
 ORACLE = {"op2_exact_dedup": exact_dedup.SQL}
