@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, ring_sharding
+from . import byte_bpe, curve_packing, exact_dedup, ring_sharding
 from .common import documents
 
 QUERIES = {
     "op2_exact_dedup": lambda spark, sf_dir: exact_dedup.query(documents(spark, sf_dir)),
     "op5_byte_bpe": lambda spark, sf_dir: byte_bpe.query(documents(spark, sf_dir)),
     "op4_ring_sharding": lambda spark, sf_dir: ring_sharding.query(documents(spark, sf_dir)),
+    "op9_curve_packing": lambda spark, sf_dir: curve_packing.query(documents(spark, sf_dir)),
 }
 
 ORACLE = {"op2_exact_dedup": exact_dedup.SQL}
