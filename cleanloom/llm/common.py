@@ -47,3 +47,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: Words of 64 bits of a key filter: 2 MB of bits, 262,144 rows at most, whatever the input's size.
+FILTER_WORDS = 1 << 18
+
+
+def _word(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS)).cast("int")
+
+
+def _bit(key: str):
+    return F.shiftright(F.xxhash64(F.col(key), F.lit(7)), 40).bitwiseAND(F.lit(63)).cast("int")
+
+
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """A one-hash Bloom filter over a column: (word, bits), FILTER_WORDS rows at most."""
+    at = keys.select(_word(key).alias("word"), _bit(key).alias("bit"))
+    return at.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+
+
+def may_contain(df: DataFrame, bloom: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key may be in the filter: all that are, and few others while the filter is sparse.
+
+    The filter has FILTER_WORDS rows at most, so that broadcasting it is bounded.
+    """
+    probe = df.withColumn("_word", _word(key)).withColumn("_bit", _bit(key))
+    found = probe.join(F.broadcast(bloom), F.col("_word") == F.col("word")).filter(F.expr("shiftright(bits, _bit) & 1") == 1)
+    return found.select(*df.columns)

@@ -19,10 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, text_or_empty
-
-#: The filter's words of 64 bits: 2 MB of bits, 262,144 rows at most, whatever the input's size.
-FILTER_WORDS = 1 << 18
+from .common import SPACES, cut, key_filter, may_contain, text_or_empty
 
 
 def normalised(text: str = "text") -> Column:
@@ -33,14 +30,6 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def _word(digest: str) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_WORDS)).cast("int")
-
-
-def _bit(digest: str) -> Column:
-    return F.shiftright(F.xxhash64(F.col(digest), F.lit(7)), 40).bitwiseAND(F.lit(63)).cast("int")
-
-
 def build_index(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> tuple[DataFrame, DataFrame]:
     """Level 0 (doc_id, digest; a row per document) and level 1 (digest, keep_id, group_size), both in the shared folder."""
     filters = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"}
@@ -50,29 +39,16 @@ def build_index(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     return level0, cut(merged.sortWithinPartitions("digest"), "exact-index", **filters)
 
 
-def duplicate_filter(level1: DataFrame) -> DataFrame:
-    """A one-hash Bloom filter over the digests that occur more than once: (word, bits), FILTER_WORDS rows at most."""
-    several = level1.filter("group_size > 1").select(_word("digest").alias("word"), _bit("digest").alias("bit"))
-    return several.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-
-
 def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """doc_id, keep_id, group_size, kept and digest of every row of docs."""
     level0, level1 = build_index(docs, digest)
-    bloom = duplicate_filter(level1)
+    several = level1.filter("group_size > 1")
     texts = docs.select("doc_id", normalised().alias("text")).withColumn("digest", digest(F.col("text")))
-    probe = texts.withColumn("word", _word("digest")).withColumn("bit", _bit("digest"))
-    # The filter has FILTER_WORDS rows at most, so broadcasting it is bounded.
-    hits = (
-        probe.join(F.broadcast(bloom), "word")
-        .filter(F.expr("shiftright(bits, bit) & 1") == 1)
-        .select("doc_id", "digest", "text")
-    )
+    hits = may_contain(texts, key_filter(several, "digest"), "digest")
     differ = cut(
         hits.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most")).filter("least <> most").select("digest"),
         "exact-differ",
     )
-    several = level1.filter("group_size > 1")
     out = level0.join(several, "digest", "left").select(
         "doc_id",
         "digest",
