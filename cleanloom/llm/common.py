@@ -67,11 +67,12 @@ def key_filter(keys: DataFrame, key: str) -> DataFrame:
     return at.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
 
 
-def may_contain(df: DataFrame, bloom: DataFrame, key: str) -> DataFrame:
-    """The rows of df whose key may be in the filter: all that are, and few others while the filter is sparse.
+def may_contain(df: DataFrame, bloom: DataFrame, key: str, found: bool = True) -> DataFrame:
+    """The rows of df whose key may be in the filter: all that are, and few others while the filter is sparse; or the other rows.
 
     The filter has FILTER_WORDS rows at most, so that broadcasting it is bounded.
     """
     probe = df.withColumn("_word", _word(key)).withColumn("_bit", _bit(key))
-    found = probe.join(F.broadcast(bloom), F.col("_word") == F.col("word")).filter(F.expr("shiftright(bits, _bit) & 1") == 1)
-    return found.select(*df.columns)
+    joined = probe.join(F.broadcast(bloom), F.col("_word") == F.col("word"), "inner" if found else "left")
+    is_set = F.expr("coalesce(shiftright(bits, _bit) & 1, 0)") == 1
+    return joined.filter(is_set if found else ~is_set).select(*(df[c] for c in df.columns))

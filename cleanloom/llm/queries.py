@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, curve_packing, exact_dedup, minhash_bayes, ring_sharding
+from . import byte_bpe, curve_packing, exact_dedup, minhash_bayes, ring_sharding, suffix_dedup
 from .common import documents
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_ring_sharding": lambda spark, sf_dir: ring_sharding.query(documents(spark, sf_dir)),
     "op9_curve_packing": lambda spark, sf_dir: curve_packing.query(documents(spark, sf_dir)),
     "op10_minhash_bayes": lambda spark, sf_dir: minhash_bayes.query(documents(spark, sf_dir)),
+    "op1_suffix_dedup": lambda spark, sf_dir: suffix_dedup.query(documents(spark, sf_dir)),
 }
 
 ORACLE = {"op2_exact_dedup": exact_dedup.SQL}

@@ -55,12 +55,14 @@ class Words:
         own = np.repeat(base[:-1], np.diff(self.first))
         self.begin, self.end = start - own, stop - own
 
-    def sequences(self, n: int) -> np.ndarray:
+    def sequences(self, n: int, step: int = STEP) -> np.ndarray:
         """At each word, the hash of the n words from there; those that run past a text's end mean nothing."""
-        h, out = self.hashes, np.zeros(max(0, len(self.hashes) - n + 1), np.uint64)
-        for k in range(n):
-            out += h[k : k + len(out)] * np.uint64(pow(STEP, k, 1 << 64))
-        return mix(out)
+        h = self.hashes
+        if len(h) < n:
+            return np.empty(0, np.uint64)
+        sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * powers(step, len(h)), out=sums[1:], dtype=np.uint64)
+        return mix((sums[n:] - sums[:-n]) * powers(pow(step, -1, 1 << 64), len(h) + 1)[: len(h) - n + 1])
 
 
 def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
