@@ -76,3 +76,10 @@ def may_contain(df: DataFrame, bloom: DataFrame, key: str, found: bool = True) -
     joined = probe.join(F.broadcast(bloom), F.col("_word") == F.col("word"), "inner" if found else "left")
     is_set = F.expr("coalesce(shiftright(bits, _bit) & 1, 0)") == 1
     return joined.filter(is_set if found else ~is_set).select(*(df[c] for c in df.columns))
+
+
+def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't in dropped (doc_id); a null doc_id never is. Only rows that may be dropped are shuffled."""
+    bloom = cut(key_filter(dropped, "doc_id"), "dropped-filter")
+    safe = may_contain(docs, bloom, "doc_id", found=False)
+    return safe.unionByName(may_contain(docs, bloom, "doc_id").join(dropped, "doc_id", "left_anti").select(*docs.columns))

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, key_filter, may_contain, text_or_empty
+from .common import SPACES, cut, key_filter, may_contain, text_or_empty, without_ids
 
 
 def normalised(text: str = "text") -> Column:
@@ -64,9 +64,9 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text no row with a smaller doc_id has, with all their columns."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of docs whose text no row with a smaller doc_id has, and those with a null doc_id, with all their columns."""
+    dropped = exact_groups(docs).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
+    return without_ids(docs, cut(dropped.distinct(), "exact-dropped"))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, curve_packing, exact_dedup, minhash_bayes, ring_sharding, suffix_dedup
+from . import byte_bpe, curve_packing, exact_dedup, minhash_bayes, ring_sharding, suffix_dedup, weak_quality
 from .common import documents
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op9_curve_packing": lambda spark, sf_dir: curve_packing.query(documents(spark, sf_dir)),
     "op10_minhash_bayes": lambda spark, sf_dir: minhash_bayes.query(documents(spark, sf_dir)),
     "op1_suffix_dedup": lambda spark, sf_dir: suffix_dedup.query(documents(spark, sf_dir)),
+    "op7_weak_quality": lambda spark, sf_dir: weak_quality.query(documents(spark, sf_dir)),
 }
 
 ORACLE = {"op2_exact_dedup": exact_dedup.SQL}
