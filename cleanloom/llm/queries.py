@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, curve_packing, exact_dedup, minhash_bayes, ring_sharding, suffix_dedup, weak_quality
+from . import byte_bpe, curve_packing, exact_dedup, minhash_bayes, ring_sharding, suffix_dedup, toxicity, weak_quality
 from .common import documents
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op10_minhash_bayes": lambda spark, sf_dir: minhash_bayes.query(documents(spark, sf_dir)),
     "op1_suffix_dedup": lambda spark, sf_dir: suffix_dedup.query(documents(spark, sf_dir)),
     "op7_weak_quality": lambda spark, sf_dir: weak_quality.query(documents(spark, sf_dir)),
+    "op3_toxicity": lambda spark, sf_dir: toxicity.query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
 }
 
 ORACLE = {"op2_exact_dedup": exact_dedup.SQL}
