@@ -36,16 +36,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class PairTable:
-    """Hash table from (left id, right id) to the id of their concatenation."""
+    """Hash table from (left id, right id) to the id of their merge; lesser ids merge first."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
+    def __init__(self, pairs: Iterable[tuple[int, int, int]]) -> None:
         keys, values = [], []
-        for token, rank in ranks.items():
-            for cut in range(1, len(token)):
-                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
-                if a is not None and b is not None:
-                    keys.append((a << 32) | b)
-                    values.append(rank)
+        for a, b, merged in pairs:
+            keys.append((a << 32) | b)
+            values.append(merged)
         self.bits = max(4, len(keys).bit_length() + 2)
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.full(1 << self.bits, NONE, np.int32)
@@ -82,11 +79,72 @@ class PairTable:
         return out.reshape(shape)
 
 
+def pairs_of(ranks: dict[bytes, int]) -> Iterator[tuple[int, int, int]]:
+    """Every way in which a token is two tokens."""
+    for token, rank in ranks.items():
+        for at in range(1, len(token)):
+            a, b = ranks.get(token[:at]), ranks.get(token[at:])
+            if a is not None and b is not None:
+                yield a, b, rank
+
+
+def merge_rows(ids: np.ndarray, sizes: np.ndarray, pairs: PairTable, kind: str = "<u4") -> list[bytes]:
+    """The ids of each row (of which the first `sizes` count) once no pair merges any more."""
+    n, width = ids.shape
+    columns = np.arange(width, dtype=np.int32)
+    pair = pairs.ranks(ids[:, :-1], ids[:, 1:])
+    pair[columns[1:] >= sizes[:, None]] = NONE
+    pair = np.concatenate([pair, np.full((n, 1), NONE, np.int32)], 1)
+    rows, result = np.arange(n), [b""] * n
+    bytes_each = np.dtype(kind).itemsize
+    while rows.size:
+        at = pair.argmin(1)
+        live = pair[np.arange(rows.size), at] != NONE
+        if not live.all():
+            done, long = np.flatnonzero(~live), sizes[~live]
+            flat = ids[done][columns[: ids.shape[1]] < long[:, None]].astype(kind).tobytes()
+            ends = (np.cumsum(long) * bytes_each).tolist()
+            for r, a, b in zip(rows[done].tolist(), [0, *ends], ends, strict=False):
+                result[r] = flat[a:b]
+            rows, at, ids, pair, sizes = rows[live], at[live], ids[live], pair[live], sizes[live]
+            if not rows.size:
+                break
+            most = int(sizes.max())
+            ids, pair = ids[:, :most], pair[:, :most]
+        k = np.arange(rows.size)
+        ids[k, at] = pair[k, at]
+        width = ids.shape[1]
+        source = columns[:width] + (columns[:width] > at[:, None])
+        np.minimum(source, width - 1, out=source)
+        # Close up the merged column. The pair that starts there was the next one; both pairs that touch the merged id are looked up anew.
+        ids, pair = np.take_along_axis(ids, source, 1), np.take_along_axis(pair, source, 1)
+        sizes = sizes - 1
+        pair[k, sizes - 1] = NONE
+        r = k[at < sizes - 1]
+        pair[r, at[r]] = pairs.ranks(ids[r, at[r]], ids[r, at[r] + 1])
+        r = k[at > 0]
+        pair[r, at[r] - 1] = pairs.ranks(ids[r, at[r] - 1], ids[r, at[r]])
+    return result
+
+
+def by_length(pieces: list[bytes], cells: int = 2_000_000) -> Iterator[tuple[list[int], int]]:
+    """Indices of pieces of similar length, and a width that holds them: matrices of at most `cells` cells."""
+    buckets: dict[int, list[int]] = {}
+    for i, piece in enumerate(pieces):
+        if piece:
+            buckets.setdefault((len(piece) - 1).bit_length(), []).append(i)
+    for bits, rows in buckets.items():
+        width = max(2, 1 << bits)
+        step = max(1, cells // width)
+        for k in range(0, len(rows), step):
+            yield rows[k : k + step], width
+
+
 class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.uneven = regex.compile(r" (?=\s|\Z)").search
-        self.pairs = PairTable(ranks)
+        self.pairs = PairTable(pairs_of(ranks))
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -96,66 +154,23 @@ class ByteBpe:
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """For each piece its ids, as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(pieces)
-        buckets: dict[int, list[int]] = {}
+        matrix: list[bytes] = [b""] * len(pieces)
         for i, piece in enumerate(pieces):
             whole = self.ranks.get(piece)
             if whole is not None:
                 out[i] = whole.to_bytes(4, "little")
             elif len(piece) > LONG:
                 out[i] = np.array(self._encode_long(piece), "<u4").tobytes()
-            elif piece:
-                buckets.setdefault((len(piece) - 1).bit_length(), []).append(i)
-        for bits, rows in buckets.items():
-            width = max(2, 1 << bits)
-            step = max(1, 2_000_000 // width)
-            for k in range(0, len(rows), step):
-                part = rows[k : k + step]
-                for i, ids in zip(part, self._encode_matrix([pieces[i] for i in part], width), strict=True):
-                    out[i] = ids
+            else:
+                matrix[i] = piece
+        for rows, width in by_length(matrix):
+            part = [matrix[i] for i in rows]
+            flat = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in part), np.uint8).reshape(-1, width)
+            sizes = np.fromiter(map(len, part), np.int64, len(part))
+            for i, ids in zip(rows, merge_rows(self.of_byte[flat], sizes, self.pairs), strict=True):
+                out[i] = ids
         return out
 
-    def _encode_matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
-        n = len(pieces)
-        sizes = np.fromiter(map(len, pieces), np.int64, n)
-        flat = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
-        ids = self.of_byte[flat]
-        columns = np.arange(width, dtype=np.int32)
-        pair = self.pairs.ranks(ids[:, :-1], ids[:, 1:])
-        pair[columns[1:] >= sizes[:, None]] = NONE
-        pair = np.concatenate([pair, np.full((n, 1), NONE, np.int32)], 1)
-        rows, result = np.arange(n), [b""] * n
-        while rows.size:
-            at = pair.argmin(1)
-            live = pair[np.arange(rows.size), at] != NONE
-            if not live.all():
-                done, long = np.flatnonzero(~live), sizes[~live]
-                flat = ids[done][columns[: ids.shape[1]] < long[:, None]].astype("<u4").tobytes()
-                ends = (np.cumsum(long) * 4).tolist()
-                for r, a, b in zip(rows[done].tolist(), [0, *ends], ends, strict=False):
-                    result[r] = flat[a:b]
-                rows, at, ids, pair, sizes = rows[live], at[live], ids[live], pair[live], sizes[live]
-                if not rows.size:
-                    break
-                most = int(sizes.max())
-                ids, pair = ids[:, :most], pair[:, :most]
-            k = np.arange(rows.size)
-            ids[k, at] = pair[k, at]
-            width = ids.shape[1]
-            source = columns[:width] + (columns[:width] > at[:, None])
-            np.minimum(source, width - 1, out=source)
-            ids = np.take_along_axis(ids, source, 1)
-            # The pair that starts at the merged column was the next pair; both pairs that touch the merged id are looked up anew.
-            pair = np.take_along_axis(pair, source, 1)
-            sizes -= 1
-            pair[k, sizes - 1] = NONE
-            right = at < sizes - 1
-            r = k[right]
-            pair[r, at[right]] = self.pairs.ranks(ids[r, at[right]], ids[r, at[right] + 1])
-            left = at > 0
-            r = k[left]
-            pair[r, at[left] - 1] = self.pairs.ranks(ids[r, at[left] - 1], ids[r, at[left]])
-        return result
-
     def _encode_long(self, piece: bytes) -> list[int]:
         ids = self.of_byte[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)

@@ -15,15 +15,17 @@ own, each packed. An empty table gives an empty result. Extra columns are ignore
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import chunks
+from .byte_bpe import PairTable, by_length, chunks, merge_rows
 from .common import cut
 
 SEQUENCE = 4096
@@ -35,7 +37,11 @@ LONG_UNIT = 60
 
 
 class WordTokens:
-    """A tokenizer whose splits never cross a space, with the ids of space-separated parts cached within a bound."""
+    """A tokenizer of lower-cased words whose splits never cross a space, with the ids of space-separated parts cached within a bound.
+
+    Parts of plain Latin letters, digits and signs are split here and merged in padded matrices (see byte_bpe), which takes a
+    fraction of the library's time for many new words; other parts, or another kind of tokenizer, go to the library.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -44,21 +50,56 @@ class WordTokens:
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.plain = self._matrices(json.loads(self.tokenizer.to_str()))
+
+    def _matrices(self, made: dict):
+        """The test for parts that are merged here; None if the tokenizer isn't a byte-level BPE of lower-cased words."""
+        model, vocabulary = made["model"], made["model"].get("vocab") or {}
+        steps = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
+        splits = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if model["type"] != "BPE" or steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in splits] != ["Split", "ByteLevel"]:
+            return None
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        triples = [(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in merges]
+        ordered = [t[2] for t in triples]
+        if ordered != sorted(set(ordered)):  # the matrices merge lesser ids first
+            return None
+        letter = bytes_to_letters()
+        end = model.get("end_of_word_suffix") or ""
+        self.inner = np.array([vocabulary[letter[b]] for b in range(256)], np.int32)
+        self.last = np.array([vocabulary[letter[b] + end] for b in range(256)], np.int32)
+        self.pairs = PairTable(triples)
+        self.split = regex.compile(splits[0]["pattern"]["Regex"]).findall
+        # NFC leaves these letters as they are, and each has one lower-case form.
+        return regex.compile(r"[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017e]{1,200}").fullmatch
+
+    def _new_words(self, words: list[str]) -> None:
+        raw = [w.encode() for w in words]
+        for rows, width in by_length(raw):
+            part = [raw[i] for i in rows]
+            flat = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in part), np.uint8).reshape(-1, width)
+            sizes = np.fromiter(map(len, part), np.int64, len(part))
+            ids, k = self.inner[flat], np.arange(len(part))
+            ids[k, sizes - 1] = self.last[flat[k, sizes - 1]]
+            for i, found in zip(rows, merge_rows(ids, sizes, self.pairs, self.kind.str), strict=True):
+                self.words[words[i]] = found
+
+    def _library(self, units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        known = self.cache
+        if len(self.cache) > CACHE or len(self.words) > CACHE:
+            self.cache, self.words = {}, {}
+        known, words = self.cache, self.words
         missing = list(set().union(*parts).difference(known))
-        found = self.tokenizer.encode_batch(missing, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        flat = np.fromiter((x for e in ids for x in e), self.kind).tobytes()
-        at = 0
-        for unit, e in zip(missing, ids, strict=True):
-            size = len(e) * self.kind.itemsize
-            known[unit] = flat[at : at + size]
-            at += size
+        plain = [u for u in missing if self.plain(u)] if self.plain else []
+        pieces = [self.split(u.lower()) for u in plain]
+        self._new_words(list({p for own in pieces for p in own}.difference(words)))
+        known.update((u, b"".join(map(words.__getitem__, own))) for u, own in zip(plain, pieces, strict=True))
+        others = [u for u in missing if u not in known]
+        known.update(zip(others, self._library(others), strict=True))
         end = np.array([END], self.kind).tobytes()
         out = [b"".join(map(known.__getitem__, us)) + end for us in parts]
         for unit in missing:
@@ -67,6 +108,13 @@ class WordTokens:
         return out
 
 
+def bytes_to_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in printable else next(others)) for b in range(256)]
+
+
 def projection() -> np.ndarray:
     return np.random.default_rng(9).standard_normal((HASHED, DIMENSIONS))
 

@@ -1,4 +1,5 @@
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -43,3 +44,14 @@ def test_pieces(spark):
 
 def test_empty(spark):
     assert C.pieces(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_words_as_the_library_does():
+    rng = random.Random(4)
+    letters = [*"abcdeABC 0123'sтüÉßÆŸñ漢字😀\n\t.,!_-|&", "İ", "'s", "'LL", "  ", "̈", "ǆ", "ŉ", "Ω", "the", "ing"]
+    coder, tokenizer = C.tokens_of(PATH), Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    want = [[*e.ids, 2] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, coder.kind).tolist() for x in coder.encode_batch(texts)] == want
+    assert coder.plain is not None
