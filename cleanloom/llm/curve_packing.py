@@ -32,8 +32,9 @@ SEQUENCE = 4096
 #: Fixed by the contract: the id that ends each document.
 END = 2
 HASHED, DIMENSIONS, BITS = 256, 4, 15
-CACHE = 600_000
+CACHE = 800_000
 LONG_UNIT = 60
+SIGNS = (".", ",", ";", ":")
 
 
 class WordTokens:
@@ -94,8 +95,16 @@ class WordTokens:
             self.cache, self.words = {}, {}
         known, words = self.cache, self.words
         missing = list(set().union(*parts).difference(known))
-        plain = [u for u in missing if self.plain(u)] if self.plain else []
-        pieces = [self.split(u.lower()) for u in plain]
+        plain, pieces = [], []
+        for u in missing if self.plain else ():
+            # Most parts are a word, or a word and a sign: letters and signs are always apart.
+            if u.isascii() and len(u) < LONG_UNIT and (bare := u[:-1] if u[-1:] in SIGNS else u).isalpha():
+                pieces.append((bare.lower(),) if bare is u else (bare.lower(), u[-1]))
+            elif self.plain(u):
+                pieces.append(self.split(u.lower()))
+            else:
+                continue
+            plain.append(u)
         self._new_words(list({p for own in pieces for p in own}.difference(words)))
         known.update((u, b"".join(map(words.__getitem__, own))) for u, own in zip(plain, pieces, strict=True))
         others = [u for u in missing if u not in known]
