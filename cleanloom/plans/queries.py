@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import audit, clean, mapping, validate
+from ..operators import audit, clean, mapping, page_scan, validate
 from ..operators.roles import detect_column_roles
 from ..sources.config import CleaningConfig, MappingConfig
 from ..sources.rows import RID, numbered
@@ -201,3 +201,31 @@ _add(
         count(*) FILTER (n % 17 = 0 OR n % 13 = 0 OR NOT ({_VALID_PHONE})) AS records_to_review FROM {_ROWS}""",
 )
 _add("e2e_mapped", lambda spark, d: mapping.map_data(clean.first_of_each(_cleaned(spark, d), COLUMNS), "hubspot").frame.drop(RID), f"SELECT {_MAPPED} FROM {_ROWS}")
+
+_add("valid_url", lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", page_scan.is_valid_url(F.col("url")).alias("valid")), "SELECT page_id, regexp_matches(url, '^(https?://)?([^.\\s]+\\.[^\\s]{2,}|localhost)(/[^\"]*)?$', 'i') AS valid FROM pages")
+
+
+def _findings(spark: SparkSession, d: str) -> DataFrame:
+    """Findings by arithmetic on page_id, to have some: three for each page."""
+    pages = spark.read.parquet(f"{d}/pages.parquet").selectExpr("page_id as page", "explode(array(0, 1, 2)) as k")
+    return pages.selectExpr(
+        "page", "concat('rule', k) as id", "cast(null as string) as help", "element_at(array('critical', 'serious', 'minor'), k + 1) as impact", "cast(null as string) as description",
+        "(page + k) % 5 as nodes", "transform(sequence(0, cast(page % 13 as int)), x -> concat('t', x)) as targets", "array('wcag2a', 'best') as tags",
+    )
+
+
+_TOTALS = """SELECT page, total, critical, pages_affected, greatest(0, CAST(floor(100 - total * 1.5 + 0.5) AS BIGINT)) AS score FROM (
+  SELECT page_id AS page, greatest(1, page_id % 5) + greatest(1, (page_id + 1) % 5) + greatest(1, (page_id + 2) % 5) AS total,
+         greatest(1, page_id % 5) + greatest(1, (page_id + 1) % 5) AS critical, page_id % 13 + 1 AS pages_affected FROM pages)"""
+_add("page_totals", lambda spark, d: page_scan.page_totals(_findings(spark, d)), _TOTALS)
+_add(
+    "page_exposure",
+    lambda spark, d: page_scan.exposure(page_scan.page_totals(_findings(spark, d))).select("page", "risk", "initial_demand", "settlement_low", "settlement_high", "fix_min", "fix_max"),
+    f"""WITH t AS (SELECT *, CASE WHEN critical >= 10 THEN 1250 WHEN critical >= 4 THEN 750 ELSE 500 END * critical AS demand,
+                      CASE WHEN critical >= 10 THEN 1.5 WHEN critical >= 4 THEN 1.2 ELSE 0.9 END AS times,
+                      1200 + critical * 180 + pages_affected * 85 AS fix FROM ({_TOTALS})),
+         u AS (SELECT *, CASE WHEN pages_affected > 10 THEN demand * 0.3 ELSE 0 END AS more FROM t)
+        SELECT page, CASE WHEN critical >= 10 THEN 'CRITICAL' WHEN critical >= 4 THEN 'HIGH' ELSE 'MODERATE' END AS risk,
+               CAST(floor(demand + more + 0.5) AS BIGINT) AS initial_demand, CAST(floor(floor(demand * 0.8 + 0.5) + more + 0.5) AS BIGINT) AS settlement_low,
+               CAST(floor(floor(demand * times * 1.8 + 0.5) + more + 0.5) AS BIGINT) AS settlement_high, fix AS fix_min, CAST(floor(fix * 1.25 + 0.5) AS BIGINT) AS fix_max FROM u""",
+)

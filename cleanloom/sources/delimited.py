@@ -27,11 +27,7 @@ def sniff_encoding(head: bytes) -> str:
     except UnicodeDecodeError as e:
         if e.start >= len(head) - 4 and e.reason == "unexpected end of data":
             return "UTF-8"
-    try:
-        head.decode("cp1252")
-        return "ISO-8859-1"
-    except UnicodeDecodeError:
-        return "ISO-8859-1"
+    return "ISO-8859-1"
 
 
 def mangle(names: list[str]) -> list[str]:
@@ -56,9 +52,16 @@ def _head(spark: SparkSession, path: str, size: int = 1 << 20) -> bytes:
         stream.close()
 
 
-def read_delimited(spark: SparkSession, path: str | Path, encoding: str | None = None, max_rows: int | None = None) -> DataFrame:
+def size_of(spark: SparkSession, path: str) -> int:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+
+
+def read_delimited(spark: SparkSession, path: str | Path, encoding: str | None = None, max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """All columns as strings, blanks as empty text, with _rid. Rows shorter than the header are filled up; longer ones raise."""
     path = str(path)
+    if max_bytes is not None and (size := size_of(spark, path)) > max_bytes:
+        raise ValueError(f"The file has {size} bytes; at most {max_bytes} are taken")
     head = _head(spark, path)
     encoding = encoding or sniff_encoding(head)
     header = next(csv.reader(io.StringIO(head.decode(encoding, "replace").lstrip("﻿"))), [])

@@ -173,6 +173,10 @@ def test_reading(spark, tmp_path):
     path.write_text("a,b\n1,2,3\n")
     with pytest.raises(Exception, match="more than the 2 fields"):
         read_delimited(spark, path).collect()
+    with pytest.raises(ValueError, match="at most 3"):
+        read_delimited(spark, path, max_bytes=3)
+    path.write_text("a,b\n1\n2,3\n")
+    assert [tuple(r)[:2] for r in read_delimited(spark, path, max_rows=1).collect()] == [("1", "")]
     assert sniff_encoding("é".encode("utf-16")) == "UTF-16" and sniff_encoding(b"abc") == "UTF-8"
 
 
