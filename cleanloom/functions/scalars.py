@@ -145,15 +145,15 @@ def _parsed_phone(own: Column, region: str) -> Column:
     return F.when(shaped, number)
 
 
-def _possible(whole: Column) -> Column:
-    out = F.length(whole).between(8, 15) & ~whole.startswith("0")
-    for code, (least, most) in sorted(_lengths().items(), key=lambda x: len(x[0])):
-        out = F.when(whole.startswith(code), F.length(whole).between(least + len(code), most + len(code))).otherwise(out)
-    return F.coalesce(out, F.lit(False))
+def _possible_pattern() -> str:
+    """Digits of an international number: of a known calling code with a length that it has, or of another code."""
+    lengths = {code: (least, most) for code, _, least, most in REGIONS.values()}
+    known = "|".join(rf"{code}\d{{{least},{most}}}" for code, (least, most) in lengths.items())
+    return rf"^(?:{known}|(?!{'|'.join(lengths)})[2-9]\d{{7,14}})$"
 
 
-def _lengths() -> dict[str, tuple[int, int]]:
-    return {code: (least, most) for code, _, least, most in REGIONS.values()}
+def _possible(whole: Column) -> Column:
+    return F.coalesce(whole.rlike(_possible_pattern()), F.lit(False))
 
 
 def phone_e164(c: Column | str, region: str = "US") -> Column:
@@ -205,7 +205,7 @@ def parsed_date(own: Column, day_first: bool = False, this_year: int | None = No
     """The date that stripped text has, or null. Year-first numbers are year, month, day; others in the preferred order, or in the
     other order where that is the only one possible. Two-digit years lie within 50 years of this_year."""
     now = this_year or date.today().year
-    months = F.create_map(*[F.lit(x) for k, m in enumerate(_MONTHS) for x in (m[:3], str(k + 1))])
+    months = F.expr(f"map({', '.join(f"'{m[:3]}', '{k + 1}'" for k, m in enumerate(_MONTHS))})")
 
     def full(year: Column) -> Column:
         near = year.try_cast("int") + (now // 100) * 100
