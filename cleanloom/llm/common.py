@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+ROWS_A_TASK = 100_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder. Where spark.checkpoint.dir is unset, as in local tests, a folder of our own."""
@@ -26,9 +28,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/cleanloom/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later jobs start from the files, whichever executors are lost."""
+def cut(df: DataFrame, name: str, rows: int | None = None, **options: str) -> DataFrame:
+    """Write df to the shared folder and read it back: later jobs start from the files, whichever executors are lost.
+
+    rows: a bound of its rows, where known; small tables are then written by few tasks, ROWS_A_TASK rows or so each.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_A_TASK)
     path = new_folder(spark, name)
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
