@@ -5,8 +5,8 @@
 2. Classes whose signatures agree on a band are candidates. Within a band's bucket the first pairs join each class to the
    bucket's smallest; components are formed from what these confirm; only pairs across components remain. Those are all
    compared where a bucket has at most SMALL classes; in larger buckets, growing numbers of leaders are compared with all
-   the others until nothing is left to compare. No pair within a component is ever made, so a group of n near copies costs
-   about n comparisons, and no pair between different components is left out.
+   the others and leave the bucket, until at most SMALL are left. No pair within a component is ever made, so a group of n
+   near copies costs about n comparisons, and no pair between different components is left out.
 3. A candidate's signatures are compared in batches: once the posterior chance (uniform prior) that the similarity reaches the
    threshold is under MISS, the pair is dropped. Survivors are verified exactly on the full sets of 64-bit shingle hashes.
 
@@ -188,7 +188,7 @@ def roots_of(classes: DataFrame, docs: DataFrame, threshold: float, words: int =
     first = table.filter("rep <> leader").groupBy("rep").agg(F.min("leader").alias("a")).withColumnRenamed("rep", "b")
     tested = cut(first.select("a", "b"), "pairs")
     links = verified(tested, classes, docs, threshold, words)
-    members, leaders, whole = table.select("bucket", "rep"), 32, True
+    members, leaders = table.select("bucket", "rep"), 32
     roots = components(links)
     while True:
         members = _across(members, roots)
@@ -201,11 +201,9 @@ def roots_of(classes: DataFrame, docs: DataFrame, threshold: float, words: int =
         turn = Window.partitionBy("bucket").orderBy("rep")
         heads = cut(large.withColumn("n", F.row_number().over(turn)).filter(F.col("n") <= leaders).select("bucket", "rep", "part"), "heads")
         pairs = heads.alias("x").join(large.alias("y"), "bucket").filter(across).select(*kind)
-        if whole:
-            # Buckets of bounded size: at most small ** 2 / 2 pairs each, once.
-            few = members.filter(F.col("size") <= small)
-            pairs = pairs.unionByName(few.alias("x").join(few.alias("y"), "bucket").filter(across & (F.col("x.rep") < F.col("y.rep"))).select(*kind))
-            whole = False
+        # Buckets of bounded size, now or after their leaders left: at most small ** 2 / 2 pairs each, once.
+        few = members.filter(F.col("size") <= small)
+        pairs = pairs.unionByName(few.alias("x").join(few.alias("y"), "bucket").filter(across & (F.col("x.rep") < F.col("y.rep"))).select(*kind))
         pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             more = verified(pairs, classes, docs, threshold, words)

@@ -54,6 +54,23 @@ def test_against_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_links_after_the_leaders_of_a_bucket(spark):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    core = [word() for _ in range(200)]
+    # 80 documents that are apart from all others, then two that are near each other: the core is all that they share.
+    rows = [(i, " ".join([*core, *(word() for _ in range(22 if i < 80 else 15))])) for i in range(82)]
+    want = brute(rows, 85)
+    assert [i for i, (_, c) in want.items() if i != c] == [81]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    held = {}
+    for r in M.buckets(M.signatures(docs).withColumnRenamed("doc_id", "rep")).collect():
+        held.setdefault(r["bucket"], []).append(r["rep"])
+    met = [len(b) for b in held.values() if {80, 81} <= set(b)]
+    assert met and all(34 <= n <= 64 for n in met)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in M.near_groups(docs).collect()} == want
+
+
 def test_edges(spark):
     assert M.query(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     odd = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (2, None)], "doc_id long, text string")
