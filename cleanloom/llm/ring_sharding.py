@@ -1,17 +1,18 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads.
 
 Each shard has VNODES points on a ring of 62-bit hashes. A document's doc_id has a place on the ring and a turn (a second
-hash, ties by doc_id). In the order of their turns documents go to the first shard clockwise that is not full; the shards'
+hash, ties by checksum and size, then by a row number that is written with the turns). In the order of their turns documents go to the first shard clockwise that is not full; the shards'
 capacities sum to the number of documents and differ by one at most, so the law is `rows`: counts are at most one apart.
 
 That order looks sequential but is not: a document's shard depends only on its arc and on which shards were full at its
 turn, so the whole outcome follows from the turn at which each shard fills. Those turns are found from histograms of
 (arc, turn bin) of bounded size: bins in which no shard fills are added at once; a bin in which one fills is divided again
-by further bits of the turn, until it has few enough documents (FINE) to be placed one after the other on the driver. Then
-every document is placed independently, in one scan.
+by further bits of the turn, then of checksum and size, then of the row number, until it has few enough documents (FINE) to
+be placed one after the other on the driver. Then every document is placed independently, in one scan.
 
 Defined cases: a null text has size 1 and the checksum of no bytes. A null doc_id hashes like any other value. Rows that
-repeat doc_id, size and checksum share a shard, so counts may then differ by more than one where such rows meet its capacity. An empty table gives an empty result. Equal texts need not share a shard: a group may be larger than a shard.
+repeat a doc_id start from one place and go on to the next shard where theirs is full, so the law holds for them too; which of
+the rows that are equal in all columns goes on makes no difference to the result. An empty table gives an empty result. Equal texts need not share a shard: a group may be larger than a shard.
 Extra columns are ignored.
 """
 
@@ -66,8 +67,17 @@ def _arc(points: list[tuple[int, int]]) -> Column:
     return search(0, len(points))
 
 
+#: The order in which rows are placed; no two rows are equal in all three.
+KEY = ("turn", "mark", "number")
+
+
+def _mark() -> Column:
+    """Checksum and size in 62 bits."""
+    return F.shiftleft("text_crc32", 30).bitwiseOR(F.col("size").bitwiseAND(F.lit((1 << 30) - 1)))
+
+
 def _key(r) -> tuple:
-    return (r["turn"], r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["text_crc32"])
+    return tuple(r[k] for k in KEY)
 
 
 class _Filling:
@@ -98,27 +108,32 @@ class _Filling:
             self.closed[s] = row
 
 
-def fill(placed: DataFrame, room: list[int], order: list[tuple[int, ...]], fine: int = FINE) -> dict[int, object]:
-    """For each shard that fills, the last row that it takes (None for a shard without room)."""
+def fill(placed: DataFrame, room: list[int], order: list[tuple[int, ...]], spans: tuple[int, ...], fine: int = FINE) -> dict[int, object]:
+    """For each shard that fills, the last row that it takes (None for a shard without room). spans: the bits of each part of KEY."""
     state = _Filling(room, order)
 
-    def go(rows: DataFrame, span: int) -> None:
-        shift = max(0, span - BITS)
+    def go(rows: DataFrame, level: int, span: int) -> None:
+        key, shift = KEY[level], max(0, span - BITS)
         bins: dict[int, dict[int, int]] = defaultdict(dict)
-        for r in rows.groupBy(F.shiftrightunsigned("turn", shift).alias("bin"), "arc").count().collect():
-            bins[r["bin"]][r["arc"]] = r["count"]
+        ends: dict[int, set[int]] = defaultdict(set)
+        counts = rows.groupBy(F.shiftrightunsigned(key, shift).alias("bin"), "arc").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+        for r in counts.collect():
+            bins[r["bin"]][r["arc"]] = r["n"]
+            ends[r["bin"]] |= {r["low"], r["high"]}
         for b in sorted(bins):
             if state.add(bins[b]):
                 continue
             # A range of turns is pushed down to the scan of the written table.
-            inside = placed.filter((F.col("turn") >= b << shift) & (F.col("turn") < b + 1 << shift))
-            if sum(bins[b].values()) <= fine or shift == 0:
+            inside = rows.filter((F.col(key) >= b << shift) & (F.col(key) < b + 1 << shift))
+            if sum(bins[b].values()) <= fine:
                 for r in sorted(inside.collect(), key=_key):
                     state.one(r)
-            else:
-                go(inside, shift)
+            elif len(ends[b]) > 1:
+                go(inside, level, shift)
+            else:  # one value, so the next part of the key tells these rows apart
+                go(inside.filter(F.col(key) == min(ends[b])), level + 1, spans[level + 1])
 
-    go(placed, HASH_BITS)
+    go(placed, 0, spans[0])
     return state.closed
 
 
@@ -131,14 +146,13 @@ def assign(docs: DataFrame, shards: int = 8, vnodes: int = VNODES, fine: int = F
     placed = (
         docs.select("doc_id", (F.octet_length(text_or_empty()) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
         .withColumn("place", _hash(11))
-        .select("doc_id", "size", "text_crc32", _arc(points).alias("arc"), _hash(13).alias("turn"))
+        .select("doc_id", "size", "text_crc32", _arc(points).alias("arc"), _hash(13).alias("turn"), _mark().alias("mark"), F.monotonically_increasing_id().alias("number"))
     )
     placed = cut(placed, "ring-placed")
-    rows = placed.count()
-    closed = fill(placed, capacities(rows, shards), order, fine)
+    rows, last_number = placed.agg(F.count(F.lit(1)), F.max("number")).first()
+    closed = fill(placed, capacities(rows, shards), order, (HASH_BITS, HASH_BITS, (last_number or 0).bit_length()), fine)
     orders = spark.createDataFrame(list(enumerate(map(list, order))), "arc int, clockwise array<int>")
-    own = F.struct("turn", "doc_id", "size", "text_crc32")
-    id_kind = docs.schema["doc_id"].dataType
+    own = F.struct(*KEY)
 
     def takes(s: Column) -> Column:
         """Whether shard s has room at this row's turn."""
@@ -147,7 +161,7 @@ def assign(docs: DataFrame, shards: int = 8, vnodes: int = VNODES, fine: int = F
             if last is None:
                 out = F.when(s == shard, F.lit(False)).otherwise(out)
             else:
-                end = F.struct(F.lit(last["turn"]).alias("turn"), F.lit(last["doc_id"]).cast(id_kind).alias("doc_id"), F.lit(last["size"]).cast("long").alias("size"), F.lit(last["text_crc32"]).cast("long").alias("text_crc32"))
+                end = F.struct(*[F.lit(last[k]).cast("long").alias(k) for k in KEY])
                 out = F.when(s == shard, own <= end).otherwise(out)
         return out
 
@@ -161,7 +175,7 @@ def assign(docs: DataFrame, shards: int = 8, vnodes: int = VNODES, fine: int = F
         .count()
         .select("shard", "bin", (F.sum("count").over(Window.partitionBy("shard").orderBy("bin")) - F.col("count")).alias("before"))
     )
-    inside = F.row_number().over(Window.partitionBy("shard", "bin").orderBy("turn", "doc_id", "size", "text_crc32")) - 1
+    inside = F.row_number().over(Window.partitionBy("shard", "bin").orderBy(*KEY)) - 1
     # shards * 2**14 rows at most.
     return dealt.join(F.broadcast(before), ["shard", "bin"]).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + inside).alias("slot"))
 

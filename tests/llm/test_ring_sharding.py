@@ -31,6 +31,30 @@ def test_against_one_by_one(spark):
         assert r["size"] == len(text.encode()) + 1 and r["text_crc32"] == zlib.crc32(text.encode())
 
 
+def test_repeated_rows_and_ids(spark, monkeypatch):
+    single = []
+    one = R._Filling.one
+    monkeypatch.setattr(R._Filling, "one", lambda self, row: (single.append(row), one(self, row)))
+    # A third of all rows are equal, and a third have no doc_id.
+    docs = spark.range(3001).selectExpr("case id % 3 when 0 then 7 when 1 then null else id end doc_id", "if(id % 3 = 0, 'same', concat('t', id % 500)) text").repartition(3)
+    got = R.assign(docs, fine=40).collect()
+    counts = Counter(r["shard"] for r in got)
+    assert len(counts) == 8 and max(counts.values()) - min(counts.values()) <= 1
+    for s, n in counts.items():
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n))
+    assert len(single) <= 8 * 40  # what is placed on the driver is bounded
+    points = R.ring(8)
+    order, room, want = R.clockwise(points), R.capacities(3001, 8), Counter()
+    placed = docs.withColumn("place", R._hash(11)).select("doc_id", "text", R._arc(points).alias("arc"), R._hash(13).alias("turn")).collect()
+    for r in sorted(placed, key=lambda r: (r["turn"], zlib.crc32(r["text"].encode()), len(r["text"]))):
+        s = next(s for s in order[r["arc"]] if room[s])
+        room[s] -= 1
+        want[r["doc_id"], zlib.crc32(r["text"].encode()), s] += 1
+    assert Counter((r["doc_id"], r["text_crc32"], r["shard"]) for r in got) == want
+    twice = spark.createDataFrame([(None, "a"), (1, "b"), (1, "b"), (2, "c")], "doc_id long, text string")
+    assert sorted(r["shard"] for r in R.query(twice).collect()) == [0, 1, 2, 3]
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert R.query(empty).collect() == []
