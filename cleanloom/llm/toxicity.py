@@ -11,7 +11,9 @@ probability on the training documents.
 
 Every word of every text is screened first: a linear machine on the string kernel itself, whose feature space is finite, folds
 into one weight for each triple, so that table lookups score all words of a text; only words above its threshold, which
-nearly all signs of toxicity pass, are valued by the full machine. It is fitted on at most about SAMPLE labelled documents
+nearly all signs of toxicity pass, are valued by the full machine. A word of more than WHOLE letters (a sentence joined by
+signs or letter by letter, or script without spaces) is screened and valued in overlapping windows of several sizes that cover
+all of it, each like a word of its own; the greatest value is the word's. The model is fitted on at most about SAMPLE labelled documents
 a class, taken by hash.
 
 Defined cases: a null or empty text, or one without letters, scores what a document without insults does. Rows that repeat are
@@ -27,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +50,10 @@ _CODE[0x80:0xC0] = 26 + np.arange(64) % 10
 for _sign, _letter in zip("013457@", "oieasta", strict=True):
     _CODE[ord(_sign)] = ord(_letter) - 97
 _CODE[[0x20, *range(0x09, 0x0E)]] = _SPACE
+#: Longer words are valued in windows (letters, step): each stretch of up to 40 letters, the most that are learnt, lies in one.
+WHOLE = 40
+WINDOWS = ((6, 1), (9, 1), (13, 2), (20, 4), (30, 6), (48, 9))
+WINDOWS_AT_ONCE = 8192
 GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 
 
@@ -84,6 +91,29 @@ class Letters:
         self.codes = marked
         self.word = np.repeat(np.arange(n), np.diff(self.start, append=len(marked)))
 
+    @classmethod
+    def of(cls, rows: np.ndarray) -> Letters:
+        """Words of one length as rows of codes."""
+        out = cls.__new__(cls)
+        marked = np.pad(rows, ((0, 0), (1, 1)))
+        marked[:, 0], marked[:, -1] = OPEN, CLOSE
+        out.codes, out.start = marked.ravel(), np.arange(len(rows)) * marked.shape[1]
+        out.word = np.repeat(np.arange(len(rows)), marked.shape[1])
+        return out
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.start, append=len(self.codes)) - 2
+
+    def windows(self, k: int) -> Iterator[Letters]:
+        """The windows of word k, so many at once that memory is bounded; the last one of each size ends with the word."""
+        codes = self.codes[self.start[k] + 1 : self.start[k + 1] - 1 if k + 1 < len(self.start) else -1]
+        for size, step in WINDOWS:
+            size = min(size, len(codes))
+            last = len(codes) - size
+            at = np.append(np.arange(0, last, step), last)
+            for i in range(0, len(at), WINDOWS_AT_ONCE):
+                yield Letters.of(sliding_window_view(codes, size)[at[i : i + WINDOWS_AT_ONCE]])
+
     def triples(self) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
         """For each pair of gaps: where triples begin, their codes, and their weight."""
         c = self.codes
@@ -186,20 +216,38 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}, "base": None}
 
-    def words(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
-        """The words that pass the screen: their texts, letters and values."""
+    def valued(self, strings: list[str]) -> np.ndarray:
+        """The machine's values of words."""
         if self.base is None:
             self.base = vectors(self.landmarks)
         if len(self.known) > 200_000:
             self.known.clear()
-        letters = Letters(texts)
-        passed = np.flatnonzero(letters.screened(self.screen) >= self.least)
-        strings = [w[:60] for w in letters.strings(passed)]
         new = [w for w in dict.fromkeys(strings) if w not in self.known]
         for k in range(0, len(new), 500):
             value = np.exp((similarities(new[k : k + 500], self.base) - 1) / WIDTH) @ self.machine + self.bias
             self.known.update(zip(new[k : k + 500], np.maximum(value, FLOOR).tolist(), strict=True))
-        return letters.owner[passed], strings, np.array([self.known[w] for w in strings])
+        return np.array([self.known[w] for w in strings])
+
+    def passed(self, letters: Letters) -> np.ndarray:
+        return letters.screened(self.screen) >= self.least
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """The words that pass the screen: their texts, letters (of long ones the window of the greatest value) and values."""
+        letters = Letters(texts)
+        long = letters.sizes() > WHOLE
+        which = np.flatnonzero(self.passed(letters) & ~long)
+        strings = letters.strings(which)
+        owner, value = letters.owner[which].tolist(), self.valued(strings).tolist()
+        for k in np.flatnonzero(long).tolist():
+            best: list[tuple[float, str]] = []
+            for part in letters.windows(k):
+                found = list(dict.fromkeys(part.strings(np.flatnonzero(self.passed(part)))))
+                best = sorted([*best, *zip(self.valued(found).tolist(), found, strict=True)])[-1:]
+            for v, word in best:
+                owner.append(int(letters.owner[k]))
+                strings.append(word)
+                value.append(v)
+        return np.array(owner, np.int64), strings, np.array(value, np.float64)
 
     def raw(self, texts: list[str]) -> np.ndarray:
         """Of each text the greatest value of its words, and the soft sums of the TOP greatest ones at two sharpnesses."""

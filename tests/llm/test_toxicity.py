@@ -57,6 +57,24 @@ def test_held_out_accuracy(spark):
     assert np.mean(right) > 0.97 and got[len(labels)]["predicted"] == 1
 
 
+def test_insults_in_long_words():
+    docs, labels = made()
+    model = X.learn([d[1] for d in docs[: len(labels)]], [t for _, _, t in labels])
+    plain = docs[1][1].split() + docs[2][1].split()
+    for sign in ("", ".", "_"):
+        clean = sign.join(plain)
+        ends = [f"{clean}{sign}numpty {clean}{sign}dimwit", f"{sign.join([*plain, 'numpty', *plain])} {sign.join(['x', *plain, 'blockhead'])}"]
+        got = model.score([clean, *ends, " ".join(ends[0].replace(" ", ""))])
+        assert got[0] < 0.5 and (got[1:3] > 0.5).all() and got[3] > got[0]
+    # Every stretch of as many letters as are learnt lies in a window.
+    long = X.Letters(["".join(plain)])
+    size = int(long.sizes()[0])
+    text = long.strings(np.array([0]))[0]
+    seen = [w for part in long.windows(0) for w in part.strings(np.arange(len(part.start)))]
+    for k in range(0, size - 39):
+        assert any(text[k : k + 40] in w for w in seen)
+
+
 def test_edges(spark):
     kinds = "doc_id long, text string", "doc_id long, quality int, toxic int"
     empty, none = spark.createDataFrame([], kinds[0]), spark.createDataFrame([], kinds[1])
