@@ -52,6 +52,18 @@ def _head(spark: SparkSession, path: str, size: int = 1 << 20) -> bytes:
         stream.close()
 
 
+def is_utf8(spark: SparkSession, path: str) -> bool:
+    """Whether all bytes of a file are UTF-8, in one distributed pass: the text source splits at line ends and decodes nothing."""
+    return spark.read.text(path).agg(F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True))).first()[0]
+
+
+def encoding_of(spark: SparkSession, path: str, head: bytes) -> str:
+    """As sniff_encoding, by all bytes of the file and not its head only."""
+    name = sniff_encoding(head)
+    marked = head.startswith(b"\xef\xbb\xbf")
+    return "ISO-8859-1" if name == "UTF-8" and not marked and not is_utf8(spark, path) else name
+
+
 def size_of(spark: SparkSession, path: str) -> int:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
@@ -63,7 +75,7 @@ def read_delimited(spark: SparkSession, path: str | Path, encoding: str | None =
     if max_bytes is not None and (size := size_of(spark, path)) > max_bytes:
         raise ValueError(f"The file has {size} bytes; at most {max_bytes} are taken")
     head = _head(spark, path)
-    encoding = encoding or sniff_encoding(head)
+    encoding = encoding or encoding_of(spark, path, head)
     header = next(csv.reader(io.StringIO(head.decode(encoding, "replace").lstrip("﻿"))), [])
     names = mangle(header)
     # A field beyond the header's, where a row has one, lands in _more; checked as rows are read, without a pass of its own.

@@ -195,3 +195,14 @@ def test_stream(spark, sample, tmp_path):
     job = out.writeStream.format("memory").queryName("mapped").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
     job.awaitTermination()
     assert spark.table("mapped").count() == 7 and spark.table("mapped").filter("phone = '+33142685300'").count() == 1
+
+
+def test_encoding_is_judged_by_all_bytes(spark, tmp_path):
+    row = b"plain,text of a row\n"
+    many = (1 << 20) // len(row) + 10
+    for name, last, want in (("latin", "Zoë,Müller".encode("latin-1"), "Müller"), ("utf", "Zoë,Müller".encode(), "Müller"), ("end", b"Zo\xeb,Andr\xe9", "André")):
+        for n in (1, many):
+            path = tmp_path / f"{name}-{n}.csv"
+            path.write_bytes(b"First,Last\n" + row * n + last)
+            got = read_delimited(spark, path).filter("First not like 'plain'").collect()
+            assert [(r["First"], r["Last"]) for r in got] == [("Zoë", want)]
