@@ -37,6 +37,14 @@ def test_long_pieces(text):
     assert BPE.encode_batch([text])[0] == ids(text)
 
 
+def test_heap_and_matrices_agree(monkeypatch):
+    rng = random.Random(4)
+    pieces = ["".join(rng.choice("abcdeinst") for _ in range(B.LONG + k)).encode() for k in (-1, 0, 1, 200)]
+    dealt = BPE.encode_pieces(pieces)
+    monkeypatch.setattr(B, "LONG", 2 * B.LONG)  # all by matrices
+    assert BPE.encode_pieces(pieces) == dealt == [np.array(BPE._encode_long(p), "<u4").tobytes() for p in pieces]
+
+
 def test_query(spark):
     rows = [(1, None), (2, ""), (3, "Hello <|endoftext|> wörld"), (3, "Hello <|endoftext|> wörld"), (None, "a"), (4, "word " * 50_000)]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, ids int")
