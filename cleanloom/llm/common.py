@@ -74,19 +74,37 @@ def key_filter(keys: DataFrame, key: str) -> DataFrame:
     return at.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
 
 
+def quoted(name: str):
+    """The column of that name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that none of the columns has, in either case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def may_contain(df: DataFrame, bloom: DataFrame, key: str, found: bool = True) -> DataFrame:
     """The rows of df whose key may be in the filter: all that are, and few others while the filter is sparse; or the other rows.
 
     The filter has FILTER_WORDS rows at most, so that broadcasting it is bounded.
     """
-    probe = df.withColumn("_word", _word(key)).withColumn("_bit", _bit(key))
-    joined = probe.join(F.broadcast(bloom), F.col("_word") == F.col("word"), "inner" if found else "left")
-    is_set = F.expr("coalesce(shiftright(bits, _bit) & 1, 0)") == 1
-    return joined.filter(is_set if found else ~is_set).select(*(df[c] for c in df.columns))
+    at, bit, word, bits = fresh(df.columns, "at", "bit", "word", "bits")
+    probe = df.withColumns({at: _word(key), bit: _bit(key)})
+    words = bloom.select(F.col("word").alias(word), F.col("bits").alias(bits))
+    joined = probe.join(F.broadcast(words), F.col(at) == F.col(word), "inner" if found else "left")
+    is_set = F.expr(f"coalesce(shiftright({bits}, {bit}) & 1, 0)") == 1
+    return joined.filter(is_set if found else ~is_set).select(*map(quoted, df.columns))
 
 
 def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id isn't in dropped (doc_id); a null doc_id never is. Only rows that may be dropped are shuffled."""
     bloom = cut(key_filter(dropped, "doc_id"), "dropped-filter")
     safe = may_contain(docs, bloom, "doc_id", found=False)
-    return safe.unionByName(may_contain(docs, bloom, "doc_id").join(dropped, "doc_id", "left_anti").select(*docs.columns))
+    return safe.unionByName(may_contain(docs, bloom, "doc_id").join(dropped, "doc_id", "left_anti").select(*map(quoted, docs.columns)))

@@ -2,15 +2,18 @@
 
 1. One Arrow pass over the texts gives each document's number of distinct shingles, a digest of the set and a MinHash
    signature of BANDS * ROWS values. Documents with equal sets are one class, held by its smallest doc_id.
-2. Classes whose signatures agree on a band are candidates. Within a band's bucket the first pairs join each class to the
-   bucket's smallest; components are formed from what these confirm; only pairs across components remain. Those are all
-   compared where a bucket has at most SMALL classes; in larger buckets, growing numbers of leaders are compared with all
-   the others and leave the bucket, until at most SMALL are left. No pair within a component is ever made, so a group of n
-   near copies costs about n comparisons, and no pair between different components is left out.
+2. Classes whose signatures agree on a band are candidates. First each class of a band's bucket meets one other: the smallest
+   one, or, in buckets of more than SMALL classes, the most central one, which has the smallest share of shingles of its own.
+   Components are formed from what these confirm, and then all pairs across components are candidates, but for those of
+   large buckets that the exact differences of both from the center rule out (`_many_across`). No pair within a component is
+   made, so a group of n near copies of one text costs about n comparisons, and no link between components is lost.
 3. A candidate's signatures are compared in batches: once the posterior chance (uniform prior) that the similarity reaches the
    threshold is under MISS, the pair is dropped. Survivors are verified exactly on the full sets of 64-bit shingle hashes.
 
-With 25 bands of 5 rows a pair at the threshold of 0.85 shares a band but for a chance of 4e-7; MISS is 1e-6 for each batch.
+The bounds separate variants of one text whose edits are mostly their own. A large bucket of many texts that share the same few
+edits in all combinations, all just below the threshold, would still have all its pairs compared.
+
+With 25 bands of 5 rows a pair at the threshold of 0.85 shares a band but for a chance of 4e-7 (at 0.8, 5e-5); MISS is 1e-6 for each batch.
 
 Defined cases: a null text or one without words has the empty set and is linked with nothing. A null doc_id takes no part: its
 component_id is null and the row is kept. Rows that repeat a doc_id are one node. Empty tables give empty results. Other
@@ -25,7 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import chunks
@@ -133,86 +136,123 @@ def _pruned(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """id and set of the documents named in ids; a filter of bounded size keeps other texts from being shuffled."""
+    """id and set (hashes) of the documents named in ids; a filter of bounded size keeps other texts from being shuffled."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for part in chunks(batch.column("text").to_pylist()):
-                raw = pa.array([s.tobytes() for s in sets_of(part, words)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(part)), raw], ["id", "set"])
+                sets = sets_of(part, words)
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                flat = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(part)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "set"])
                 at += len(part)
 
     kind = ids.schema["id"].dataType.simpleString()
     texts = may_contain(docs.select(F.col("doc_id").alias("id"), "text"), key_filter(ids, "id"), "id")
-    return texts.join(ids, "id", "left_semi").mapInArrow(run, f"id {kind}, set binary")
+    return texts.join(ids, "id", "left_semi").distinct().mapInArrow(run, f"id {kind}, set array<long>")
 
 
-def _exact(survivors: DataFrame, docs: DataFrame, threshold: float, words: int) -> DataFrame:
-    """Survivors (a, b) whose full sets reach the threshold."""
-    limit = round(threshold * 100)
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(p), len(q)) >= limit * max(len(p), len(q)):
-                    both = len(p) + len(q) - len(np.union1d(p, q))
-                    if 100 * both >= limit * (len(p) + len(q) - both):
-                        keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    kind = survivors.schema["a"].dataType.simpleString()
-    ids = survivors.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(_sets(docs, ids, words), "sets")
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    return survivors.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, the sizes of their full sets and what these have in common. Sets are compared row by row in the JVM, not in batches."""
+    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    both = F.size(F.array_intersect("x", "y")).alias("both")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", F.size("x").alias("n_a"), F.size("y").alias("n_b"), both).distinct()
+
+
+def _links(met: DataFrame, limit: int) -> DataFrame:
+    return met.filter(F.expr(f"100L * both >= {limit} * (n_a + n_b - both)")).select("a", "b")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, words: int) -> DataFrame:
-    survivors = cut(_pruned(pairs, classes, threshold), "survivors")
-    return cut(_exact(survivors, docs, threshold, words), "links")
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _across(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """members of buckets (bucket, rep), with their components, in the buckets that still have more than one component."""
-    labelled = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("part"))
-    several = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high")
-    return cut(labelled.join(several.select("bucket", "size"), "bucket"), "members")
+def _central(many: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members (bucket, rep) of large buckets, with n, the size of their sets, alone, how many of their shingles no other
+    member of any large bucket has, and center, the member of the bucket with the smallest share of such shingles."""
+    own = sets.join(many.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    single = own.select("id", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    sizes = own.select(F.col("id").alias("rep"), F.size("set").alias("n")).distinct()
+    sizes = cut(sizes.join(single.groupBy("rep").agg(F.count(F.lit(1)).cast("int").alias("alone")), "rep", "left").fillna(0, ["alone"]), "large-members")
+    members = many.join(sizes, "rep")
+    centers = members.groupBy("bucket").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), F.col("rep").alias("center"))).alias("best"))
+    return cut(members.join(centers.select("bucket", "best.center"), "bucket").select("bucket", "rep", "n", "alone", "center"), "large-buckets")
+
+
+def _few_across(few: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs (a, b) across components in buckets of bounded size: at most small ** 2 / 2 each."""
+    labelled = few.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("part"))
+    several = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+    open_ = cut(labelled.join(several.select("bucket"), "bucket"), "few-across")
+    return open_.alias("x").join(open_.alias("y"), "bucket").filter("x.rep < y.rep and x.part <> y.part").select(*_pair("x.rep", "y.rep"))
+
+
+def _many_across(many: DataFrame, met: DataFrame, roots: DataFrame, limit: int) -> DataFrame:
+    """The pairs (a, b) across components in large buckets that may be links.
+
+    Against the center's set a member has `own` shingles more and `lost` ones less; `alone` of its own no other member has. Two
+    sets differ at least by own and lost of both, less twice what these can have in common, which is no more than the lesser
+    lost and the lesser own that isn't alone. Where that is too much for a link, the pair is never made. The bound depends on
+    four numbers, so it is taken for the distinct ones of a bucket, its profiles, and only members of profiles that fit are paired.
+    """
+    key = ["n", "own", "lost", "alone"]
+    root = roots.withColumnRenamed("node", "rep")
+    of_center = root.select(F.col("rep").alias("center"), F.col("root").alias("main"))
+    with_center = met.select("a", "b", "both", F.col("n_a"), F.col("n_b"))
+    seen = (
+        many.filter("rep <> center")
+        .select("*", *_pair("rep", "center"))
+        .join(with_center, ["a", "b"])
+        .select("bucket", "rep", "center", "n", "alone", (F.col("n") - F.col("both")).alias("own"), (F.col("n_a") + F.col("n_b") - F.col("n") - F.col("both")).alias("lost"))
+    )
+    center = many.filter("rep = center").select("bucket", "rep", "center", "n", "alone", F.lit(0).alias("own"), F.lit(0).alias("lost"))
+    members = seen.unionByName(center).join(root, "rep", "left").join(of_center, "center", "left")
+    members = members.select("bucket", "rep", *key, F.coalesce("root", "rep").alias("part"), F.coalesce("main", "center").alias("main"))
+    members = cut(members, "large-profiles")
+    # Those of the center's component are linked with each other already: one side of a pair is always another component's.
+    apart = members.filter("part <> main")
+    left = apart.select("bucket", *(F.col(k).alias(f"{k}_x") for k in key)).distinct()
+    right = members.select("bucket", *(F.col(k).alias(f"{k}_y") for k in key)).distinct()
+    common = "least(own_x - alone_x, own_y - alone_y) + least(lost_x, lost_y)"
+    fits = F.expr(f"(100 + {limit}) * (own_x + lost_x + own_y + lost_y - 2 * ({common})) <= (100 - {limit}) * (n_x + n_y)")
+    profiles = cut(left.join(right, "bucket").filter(fits), "profiles-that-fit")
+    one = apart.select("bucket", F.col("rep").alias("x"), F.col("part").alias("part_x"), *(F.col(k).alias(f"{k}_x") for k in key))
+    other = members.select("bucket", F.col("rep").alias("y"), F.col("part").alias("part_y"), *(F.col(k).alias(f"{k}_y") for k in key))
+    wide = one.join(profiles, ["bucket", *(f"{k}_x" for k in key)]).select("bucket", "x", "part_x", *(f"{k}_y" for k in key))
+    return wide.join(other, ["bucket", *(f"{k}_y" for k in key)]).filter("part_x <> part_y").select(*_pair("x", "y"))
 
 
 def roots_of(classes: DataFrame, docs: DataFrame, threshold: float, words: int = WORDS, small: int = SMALL) -> DataFrame:
     """node and root of the classes that links connect to a smaller one; what all links of shared buckets would connect."""
+    limit = round(threshold * 100)
     table = buckets(classes)
-    first = table.filter("rep <> leader").groupBy("rep").agg(F.min("leader").alias("a")).withColumnRenamed("rep", "b")
-    tested = cut(first.select("a", "b"), "pairs")
-    links = verified(tested, classes, docs, threshold, words)
-    members, leaders = table.select("bucket", "rep"), 32
+    few, many = table.filter(F.col("size") <= small), table.filter(F.col("size") > small).select("bucket", "rep")
+    stars = few.filter("rep <> leader").groupBy("rep").agg(F.min("leader").alias("leader")).select(*_pair("rep", "leader"))
+    pairs = cut(_pruned(stars, classes, threshold), "survivors")
+    ids = cut(_ends(pairs).unionByName(many.select(F.col("rep").alias("id"))).distinct(), "compared")
+    sets = cut(_sets(docs, ids, words), "sets")
+    large = not many.isEmpty()
+    if large:
+        many = _central(many, sets)
+        pairs = pairs.unionByName(many.filter("rep <> center").select(*_pair("rep", "center"))).distinct()
+    met = cut(_met(pairs, sets), "met")
+    links = _links(met, limit)
     roots = components(links)
-    while True:
-        members = _across(members, roots)
-        if members.isEmpty():
-            return roots
-        across = F.col("x.part") != F.col("y.part")
-        kind = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
-        large = members.filter(F.col("size") > small)
-        # Larger buckets: some leaders against all the others.
-        turn = Window.partitionBy("bucket").orderBy("rep")
-        heads = cut(large.withColumn("n", F.row_number().over(turn)).filter(F.col("n") <= leaders).select("bucket", "rep", "part"), "heads")
-        pairs = heads.alias("x").join(large.alias("y"), "bucket").filter(across).select(*kind)
-        # Buckets of bounded size, now or after their leaders left: at most small ** 2 / 2 pairs each, once.
-        few = members.filter(F.col("size") <= small)
-        pairs = pairs.unionByName(few.alias("x").join(few.alias("y"), "bucket").filter(across & (F.col("x.rep") < F.col("y.rep"))).select(*kind))
-        pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            more = verified(pairs, classes, docs, threshold, words)
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                roots = components(links)
-            tested = tested.unionByName(pairs)
-        members = large.select("bucket", "rep").join(heads.select("bucket", "rep"), ["bucket", "rep"], "left_anti")
-        leaders *= 8
+    more = _few_across(few.select("bucket", "rep"), roots)
+    if large:
+        more = more.unionByName(_many_across(many, met, roots, limit))
+    tested = met.select("a", "b").unionByName(stars)
+    more = cut(more.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    pairs = cut(_pruned(more, classes, threshold), "survivors")
+    if pairs.isEmpty():
+        return roots
+    sets = cut(_sets(docs, _ends(pairs).distinct(), words), "sets")
+    return components(links.unionByName(_links(cut(_met(pairs, sets), "met"), limit)))
 
 
 def near_groups(docs: DataFrame, threshold: float = 0.85, words: int = WORDS, small: int = SMALL) -> DataFrame:
