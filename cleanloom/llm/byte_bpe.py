@@ -3,7 +3,8 @@
 Distinct regex matches of a batch of texts become rows of matrices, one for each bucket of byte lengths. In each round every
 row merges its leftmost pair of minimum rank: ranks of adjacent pairs come from a hash table (open addressing, vectorised
 probing), the merged column is closed up, and finished rows leave the matrix. Results are cached per worker, within a bound.
-Pieces over LONG bytes would make rounds quadratic and use a heap over linked positions, with the same result.
+A piece over LONG bytes is a matrix of one row, in which a round merges all places of the least rank that don't overlap, from the
+left; where that would differ from one merge after the other, the round merges the leftmost alone.
 
 Documents are independent: no shuffle, one Arrow pass. Defined cases: a null text is an empty text, whose ids and bytes are
 empty (their SHA-256 is that of no bytes). Repeated rows give repeated rows. Extra columns are ignored.
@@ -13,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import chunks
+
 NONE = np.int32(2**31 - 1)
 LONG = 1024
 #: Longer parts of a text, such as whole texts, don't stay in the cache.
@@ -127,6 +129,32 @@ def merge_rows(ids: np.ndarray, sizes: np.ndarray, pairs: PairTable, kind: str =
     return result
 
 
+def merge_long(ids: np.ndarray, pairs: PairTable, kind: str = "<u4") -> bytes:
+    """The same for one long row, with all places of the least rank in one round."""
+    pair = pairs.ranks(ids[:-1], ids[1:])
+    while len(pair) and (least := pair.min()) != NONE:
+        at = np.flatnonzero(pair == least)
+        # Of places in a row every second one, from the left, can be merged.
+        fresh = np.diff(at, prepend=-2) != 1
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+        at = at[(np.arange(len(at)) - first) % 2 == 0]
+        after = ids[at[at + 2 < len(ids)] + 2]
+        before = np.where(np.diff(at, prepend=-2) == 2, least, ids[at - 1])[at > 0]
+        one = np.full(max(len(after), len(before)), least)
+        if (pairs.ranks(one[: len(after)], after) < least).any() or (pairs.ranks(before, one[: len(before)]) < least).any():
+            at = at[:1]  # a merge would make a pair that comes before the others
+        merged = np.zeros(len(ids), bool)
+        merged[at + 1] = True
+        ids[at] = least
+        spot = at - np.arange(len(at))
+        ids, pair = ids[~merged], pair[~merged[1:]]
+        # The pair of a merged place was closed up; look up anew those that touch a merged id.
+        spot = np.unique(np.concatenate([spot, spot - 1]))
+        spot = spot[(spot >= 0) & (spot < len(pair))]
+        pair[spot] = pairs.ranks(ids[spot], ids[spot + 1])
+    return ids.astype(kind).tobytes()
+
+
 def by_length(pieces: list[bytes], cells: int = 2_000_000) -> Iterator[tuple[list[int], int]]:
     """Indices of pieces of similar length, and a width that holds them: matrices of at most `cells` cells."""
     buckets: dict[int, list[int]] = {}
@@ -160,7 +188,7 @@ class ByteBpe:
             if whole is not None:
                 out[i] = whole.to_bytes(4, "little")
             elif len(piece) > LONG:
-                out[i] = np.array(self._encode_long(piece), "<u4").tobytes()
+                out[i] = merge_long(self.of_byte[np.frombuffer(piece, np.uint8)], self.pairs)
             else:
                 matrix[i] = piece
         for rows, width in by_length(matrix):
@@ -171,32 +199,6 @@ class ByteBpe:
                 out[i] = ids
         return out
 
-    def _encode_long(self, piece: bytes) -> list[int]:
-        ids = self.of_byte[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        known = self.ranks
-        text = self.bytes_of
-
-        def rank(i: int) -> int | None:
-            return known.get(text[ids[i]] + text[ids[after[i]]]) if after[i] >= 0 else None
-
-        heap = [(r, i, ids[i], ids[after[i]]) for i in range(n) if (r := rank(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] >= 0 else -1
-            if j < 0 or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], ids[j] = r, -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for k in (i, before[i]):
-                if k >= 0 and (x := rank(k)) is not None:
-                    heapq.heappush(heap, (x, k, ids[k], ids[after[k]]))
-        return [x for x in ids if x >= 0]
-
     def units(self, text: str) -> list[str]:
         """Parts of text whose matches, taken together, are the matches of text.
 
@@ -228,19 +230,6 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def chunks(texts: list[str | None], most: int = CHUNK) -> Iterator[list[str]]:
-    part: list[str] = []
-    size = 0
-    for t in texts:
-        part.append(t or "")
-        size += len(part[-1])
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 _made: dict[tuple[str, str], ByteBpe] = {}
 
 
@@ -258,7 +247,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe = coder(path, pattern)
         for batch in batches:
             at = 0
-            for part in chunks(batch.column("text").to_pylist()):
+            for part in chunks(batch.column("text"), CHUNK):
                 ids = pa.array(bpe.encode_batch(part), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), ids], ["doc_id", "ids"])
                 at += len(part)
@@ -286,7 +275,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe = coder(path, pattern)
         for batch in batches:
             at = 0
-            for part in chunks(batch.column("text").to_pylist()):
+            for part in chunks(batch.column("text"), CHUNK):
                 ids = bpe.encode_batch(part)
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 ROWS_A_TASK = 100_000
+#: Characters that a task handles at once.
+CHUNK = 250_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,6 +60,24 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def chunks(texts, most: int = CHUNK) -> Iterator[list[str]]:
+    """Parts of a column (or list) of texts, of about `most` characters or one text each; null is empty.
+
+    Only some rows at a time become Python strings, and what is made of a part goes before the next one comes.
+    """
+    slices = [texts] if isinstance(texts, list) else (texts.slice(k, 256).to_pylist() for k in range(0, len(texts), 256))
+    part: list[str] = []
+    size = 0
+    for t in itertools.chain.from_iterable(slices):
+        part.append(t or "")
+        size += len(part[-1])
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 #: Words of 64 bits of a key filter: 2 MB of bits, 262,144 rows at most, whatever the input's size.
 FILTER_WORDS = 1 << 18
 

@@ -25,14 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import PairTable, by_length, chunks, merge_rows
-from .common import cut
+from .byte_bpe import PairTable, by_length, merge_rows
+from .common import chunks, cut
 
 SEQUENCE = 4096
 #: Fixed by the contract: the id that ends each document.
 END = 2
 HASHED, DIMENSIONS, BITS = 256, 4, 15
-CACHE = 800_000
+CACHE = 300_000
+CHUNK = 500_000
 LONG_UNIT = 60
 SIGNS = (".", ",", ";", ":")
 
@@ -48,11 +49,13 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.plain = self._matrices(json.loads(self.tokenizer.to_str()))
+        made = json.loads(self.tokenizer.to_str())
+        #: Texts that hold one of these are the library's as a whole: it cuts them there before anything else.
+        self.special = [x["content"] for x in made.get("added_tokens") or ()]
+        self.plain = self._matrices(made)
 
     def _matrices(self, made: dict):
         """The test for parts that are merged here; None if the tokenizer isn't a byte-level BPE of lower-cased words."""
@@ -90,7 +93,10 @@ class WordTokens:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
+        whole = [i for i, t in enumerate(texts) if any(x in t for x in self.special)]
         parts = [t.split(" ") for t in texts]
+        for i in whole:
+            parts[i] = []
         if len(self.cache) > CACHE or len(self.words) > CACHE:
             self.cache, self.words = {}, {}
         known, words = self.cache, self.words
@@ -111,6 +117,8 @@ class WordTokens:
         known.update(zip(others, self._library(others), strict=True))
         end = np.array([END], self.kind).tobytes()
         out = [b"".join(map(known.__getitem__, us)) + end for us in parts]
+        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
+            out[i] = ids + end
         for unit in missing:
             if len(unit) > LONG_UNIT:
                 del known[unit]
@@ -181,7 +189,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
         coder, matrix = tokens_of(path), projection()
         for batch in batches:
             at = 0
-            for part in chunks(batch.column("text").to_pylist()):
+            for part in chunks(batch.column("text"), CHUNK):
                 raw = coder.encode_batch(part)
                 ids = [np.frombuffer(x, coder.kind) for x in raw]
                 yield pa.RecordBatch.from_arrays(

@@ -7,7 +7,7 @@ of those are read again, to be compared byte by byte within their digest (least
 digest that holds a third of all rows moves one pair of texts for each task). Digests whose texts differ are split by text.
 
 Defined cases: a null text is an empty text. Texts are equal when they are identical after every run of white space has become
-one space. Rows that repeat a doc_id share one decision. A null doc_id comes after every other; a group of only null
+one space. In `exact_groups` rows that repeat a doc_id and a text share one decision. A null doc_id comes after every other; a group of only null
 identifiers has a null keep_id and all its rows are kept. An empty table gives an empty result. Other columns are ignored
 by `exact_groups` and kept by `drop_exact_copies`.
 """
@@ -16,10 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, key_filter, may_contain, text_or_empty, without_ids
+from .common import SPACES, cut, fresh, key_filter, may_contain, quoted, text_or_empty
 
 
 def normalised(text: str = "text") -> Column:
@@ -43,7 +43,10 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
     """doc_id, keep_id, group_size, kept and digest of every row of docs."""
     level0, level1 = build_index(docs, digest)
     several = level1.filter("group_size > 1")
-    texts = docs.select("doc_id", normalised().alias("text")).withColumn("digest", digest(F.col("text")))
+    # Only texts of documents whose digest occurs again are normalised a second time.
+    again = level0.join(several.select("digest"), "digest", "left_semi")
+    texts = may_contain(docs.select("doc_id", "text"), cut(key_filter(again, "doc_id"), "exact-filter"), "doc_id")
+    texts = texts.select("doc_id", normalised().alias("text")).withColumn("digest", digest(F.col("text")))
     hits = may_contain(texts, key_filter(several, "digest"), "digest")
     differ = cut(
         hits.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most")).filter("least <> most").select("digest"),
@@ -64,9 +67,20 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text no row with a smaller doc_id has, and those with a null doc_id, with all their columns."""
-    dropped = exact_groups(docs).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    return without_ids(docs, cut(dropped.distinct(), "exact-dropped"))
+    """One row of docs for each text, with all its columns: that of the smallest doc_id (null last; of equal ones, any).
+
+    Rows are judged by their text alone, so those that repeat a doc_id with another text stay. Only rows whose doc_id may be that of
+    a repeated digest are moved, and of a group one for each task; byte verification is that the text itself is part of the key.
+    """
+    level0, level1 = build_index(docs)
+    again = level0.join(level1.filter("group_size > 1").select("digest"), "digest", "left_semi")
+    bloom = cut(key_filter(again, "doc_id"), "exact-filter")
+    digest, text, turn = fresh(docs.columns, "digest", "normalised", "turn")
+    kept = [quoted(c) for c in docs.columns]
+    hits = may_contain(docs, bloom, "doc_id").withColumn(text, normalised()).withColumn(digest, sha256(F.col(text)))
+    order = Window.partitionBy(digest, text).orderBy(F.col("doc_id").asc_nulls_last())
+    first = hits.withColumn(turn, F.row_number().over(order)).filter(F.col(turn) == 1).select(*kept)
+    return may_contain(docs, bloom, "doc_id", found=False).select(*kept).unionByName(first)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ training documents and seldom in others'). Transitions between labels are learnt
 segments of training documents. Forward-backward gives each word's chances; a document's language is the one with the
 greatest sum over its words, and its score is that sum's share.
 
-The field is trained on at most about SAMPLE documents a language, taken by hash of doc_id. Documents are then labelled in whole and
+The field is trained on at most about SAMPLE documents a language, taken by hash of doc_id, and on at most SEGMENTS segments of
+these; the lexicon is counted on all words of them. Documents are then labelled in whole and
 independently, in one pass without a shuffle; the recursions run over many documents at once, longest first.
 
 Defined cases: a null text, or one without letters, is `und` with score 0, as is every text where nothing could be learnt. Words
@@ -26,10 +27,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import chunks
+from .common import chunks
 from .words import Words
 
-SAMPLE, FEATURES, LEXICON, SEQUENCE, CHUNK = 200, 1 << 15, 300, 60, 2_000_000
+SAMPLE, FEATURES, LEXICON, SEQUENCE, CHUNK = 200, 1 << 15, 300, 60, 1_000_000
+#: Segments of training documents a language that sequences are put together from.
+SEGMENTS = 20_000
 #: What a byte counts as in n-grams: itself if it is part of a letter, else the mark of a word's end.
 _PART = np.full(256, 0x20, np.uint32)
 _PART[0x61:0x7B], _PART[0x80:] = np.arange(0x61, 0x7B), np.arange(0x80, 0x100)
@@ -154,7 +157,7 @@ def gradient(chance: np.ndarray, first: np.ndarray, transitions: np.ndarray, sco
     return by_word, seen - pair
 
 
-def learn(texts: list[str], langs: list[str], sequences: int = 1500, epochs: int = 3, seed: int = 6) -> Crf:
+def learn(texts: list[str], langs: list[str], sequences: int = 1500, epochs: int = 3, seed: int = 6, segments: int = SEGMENTS) -> Crf:
     """A field from texts and their languages."""
     labels = sorted(set(langs))
     rng = random.Random(seed)
@@ -166,7 +169,7 @@ def learn(texts: list[str], langs: list[str], sequences: int = 1500, epochs: int
         for x in {x.lower() for x in w}:
             mentions.setdefault(x, np.zeros(len(labels)))[k] += 1
         at = 0
-        while at < len(w) and len(pools[k]) < 20_000:
+        while at < len(w) and len(pools[k]) < segments:
             n = rng.randint(3, 30)
             pools[k].append(w[at : at + n])
             at += n
@@ -238,7 +241,7 @@ def predictions(docs: DataFrame, crf: Crf) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for part in chunks(batch.column("text").to_pylist(), CHUNK):
+            for part in chunks(batch.column("text"), CHUNK):
                 names, shares = crf.predict(part)
                 columns = [batch.column("doc_id").slice(at, len(part)), pa.array(names, pa.string()), pa.array(shares, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])

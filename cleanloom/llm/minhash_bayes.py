@@ -31,8 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import chunks
-from .common import cut, key_filter, may_contain, without_ids
+from .common import chunks, cut, key_filter, may_contain, without_ids
 from .components import components
 from .words import mix, shingle_sets
 
@@ -80,7 +79,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for part in chunks(batch.column("text").to_pylist()):
+            for part in chunks(batch.column("text")):
                 sets = sets_of(part, words)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -141,7 +140,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for part in chunks(batch.column("text").to_pylist()):
+            for part in chunks(batch.column("text")):
                 sets = sets_of(part, words)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64)

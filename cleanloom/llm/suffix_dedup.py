@@ -12,7 +12,8 @@ A window is a repeat if it occurs before, in the order of (doc_id, word); its fi
 the same words as an earlier one are set apart first and reported whole, so large groups of copies bring no windows at all. A
 passage that a third of all documents share is spread by the range sort, and counted with map-side combination.
 
-Defined cases: a null text is empty; texts under LENGTH words have no repeats. Rows with a null doc_id take no part. Rows that
+Defined cases: a null text is empty; texts under LENGTH words have no repeats. Rows with a null doc_id take no part; a doc_id that is no
+number raises. Rows that
 repeat a doc_id are one document. Periodic texts repeat themselves and are reported after their first LENGTH words. Empty
 tables give empty results. Other columns are ignored by `repeats` and kept by `cut_repeats`, which removes the spans from
 text, adjusts n_chars if there is such a column, and drops documents of which no word remains.
@@ -29,8 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .byte_bpe import chunks
-from .common import cut, key_filter, may_contain
+from .common import chunks, cut, fresh, key_filter, may_contain, quoted
 from .words import STEP, Words, mix, powers
 
 LENGTH, SPARSE, KGRAM = 50, 32, 8
@@ -54,7 +54,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, ids = 0, batch.column("doc_id").to_numpy()
-            for part in chunks(batch.column("text").to_pylist()):
+            for part in chunks(batch.column("text")):
                 words = Words([t.encode() for t in part])
                 grams, keys = words.sequences(KGRAM), words.sequences(rest)
                 first = words.first
@@ -130,7 +130,7 @@ def _windows(docs: DataFrame, places: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, ids, places = 0, batch.column("doc_id").to_numpy(), batch.column("words")
-            for part in chunks(batch.column("text").to_pylist()):
+            for part in chunks(batch.column("text")):
                 words = Words([t.encode() for t in part])
                 grams, first = words.sequences(KGRAM), words.first
                 starts, owner = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -196,11 +196,12 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     spans = cut(repeats(docs).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words")).alias("spans")), "suffix-spans")
     bloom = cut(key_filter(spans, "doc_id"), "suffix-filter")
     names = docs.columns
+    key, own_spans, flag = fresh(names, "id", "spans", "gone")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, own in zip(batch.column("text"), batch.column("_spans"), strict=True):
+            for text, own in zip(batch.column("text"), batch.column(own_spans), strict=True):
                 if own.as_py() is None or text.as_py() is None:
                     out.append(text.as_py())
                     continue
@@ -208,15 +209,16 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
                 out.append(left if left.strip(" \t\n\v\f\r") else None)
             gone = pa.array([a is None and b.as_py() is not None for a, b in zip(out, batch.column("text"), strict=True)])
             columns = [pa.array(out, pa.string()) if k == "text" else batch.column(k) for k in names]
-            yield pa.RecordBatch.from_arrays([*columns, gone], [*names, "_gone"])
+            yield pa.RecordBatch.from_arrays([*columns, gone], [*names, flag])
 
     long_id = F.col("doc_id").cast("long")
-    keyed = docs.withColumn("_id", long_id)
-    fine = may_contain(keyed, bloom, "_id", found=False).select(*docs.columns)
-    touched = may_contain(keyed, bloom, "_id")
-    touched = touched.join(spans.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans")), "_id", "left")
-    schema = StructType([*docs.schema.fields, StructField("_gone", BooleanType())])
-    done = touched.select(*docs.columns, "_spans").mapInArrow(run, schema).filter("not _gone").select(*docs.columns)
+    keyed = docs.withColumn(key, long_id)
+    kept = [quoted(c) for c in names]
+    fine = may_contain(keyed, bloom, key, found=False).select(*kept)
+    touched = may_contain(keyed, bloom, key)
+    touched = touched.join(spans.select(F.col("doc_id").alias(key), F.col("spans").alias(own_spans)), key, "left")
+    schema = StructType([*docs.schema.fields, StructField(flag, BooleanType())])
+    done = touched.select(*kept, own_spans).mapInArrow(run, schema).filter(~F.col(flag)).select(*kept)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return fine.unionByName(done)

@@ -33,7 +33,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import chunks
+from .common import chunks
 
 SAMPLE, SPAN, DECAY, WIDTH, TOP = 2000, 6, 0.6, 0.2, 8
 #: The value of a word that resembles no sign of toxicity.
@@ -132,7 +132,10 @@ class Letters:
         return np.add.reduceat(each, self.start) if len(self.start) else np.empty(0)
 
     def screened(self, table: np.ndarray) -> np.ndarray:
-        """Of each word, the inner product of its normalised feature vector with the table."""
+        """Of each word, the inner product of its feature vector with the table, over a bound of the vector's length from below.
+
+        (Each triple's weights are squared one by one.) So the screen's value is no nearer to 0 than that of the normalised vector.
+        """
         value, norm = np.zeros(len(self.codes), np.float32), np.zeros(len(self.codes), np.float32)
         for at, triple, weight in self.triples():
             value[at] += table[triple] * np.float32(weight)
@@ -151,11 +154,16 @@ def similarities(words: list[str], base: np.ndarray) -> np.ndarray:
     letters.codes = np.array([x for w in words for x in (OPEN, *map(code.__getitem__, w), CLOSE)], np.int64)
     letters.start = np.cumsum(sizes) - sizes
     letters.word = np.repeat(np.arange(len(words)), sizes)
-    value, norm = np.zeros((len(letters.codes), base.shape[1]), np.float32), np.zeros(len(letters.codes))
+    value, keys, weights = np.zeros((len(letters.codes), base.shape[1]), np.float32), [], []
     for at, triple, weight in letters.triples():
         value[at] += base[triple] * np.float32(weight)
-        norm[at] += weight * weight
-    return np.add.reduceat(value, letters.start, 0) / np.sqrt(np.maximum(letters.sums(norm), 1.0))[:, None]
+        keys.append(letters.word[at] * LETTERS**3 + triple)
+        weights.append(np.full(len(at), weight))
+    # The length of a word's vector: triples that occur more than once are summed before they are squared.
+    key, place = np.unique(np.concatenate(keys or [np.empty(0, np.int64)]), return_inverse=True)
+    total = np.bincount(place, np.concatenate(weights or [np.empty(0)]), len(key))
+    length = np.sqrt(np.bincount(key // LETTERS**3, total**2, len(words)))
+    return np.add.reduceat(value, letters.start, 0) / np.where(length > 0, length, 1.0)[:, None]
 
 
 def vectors(words: list[str]) -> np.ndarray:
@@ -163,12 +171,11 @@ def vectors(words: list[str]) -> np.ndarray:
     out = np.zeros((LETTERS**3, len(words)), np.float32)
     code = {c: i for i, c in enumerate(_SIGNS.decode())}
     for k, word in enumerate(words):
-        c, norm = np.array([OPEN, *(code[x] for x in word), CLOSE]), 0.0
+        c = np.array([OPEN, *(code[x] for x in word), CLOSE])
         for a, b in GAPS:
             if len(c) > a + b:
                 np.add.at(out[:, k], (c[: -a - b] * LETTERS + c[a : len(c) - b]) * LETTERS + c[a + b :], DECAY ** (a + b - 2))
-                norm += (len(c) - a - b) * DECAY ** (2 * (a + b - 2))
-        out[:, k] /= np.sqrt(max(norm, 1.0))
+        out[:, k] /= np.linalg.norm(out[:, k]) or 1.0
     return out
 
 
@@ -258,7 +265,7 @@ class Model:
             owner, value = owner[order], value[order]
             place = np.arange(len(owner)) - np.searchsorted(owner, owner)
             z[owner[place < TOP], place[place < TOP]] = value[place < TOP]
-        return np.stack([z[:, 0], *(np.log(np.exp(k * z).sum(1)) / k for k in (2.0, 6.0))], 1)
+        return np.stack([z[:, 0], *(z[:, 0] + np.log(np.exp(k * (z - z[:, :1])).sum(1)) / k for k in (2.0, 6.0))], 1)
 
     def score(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(texts) @ self.slopes + self.shift, -30, 30)))
@@ -347,8 +354,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not parts:
         return learn([], [])
     chosen = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    # 4 * sample rows at most.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text", "toxic").collect()
+    # A row for each doc_id and label: 4 * sample rows at most, also where rows repeat.
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id")
+    rows = found.groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).orderBy("doc_id", "toxic").collect()
     return learn([r["text"] or "" for r in rows], [r["toxic"] for r in rows])
 
 
@@ -357,7 +365,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [model.score(part) for part in chunks(batch.column("text").to_pylist())]
+            out = [model.score(part) for part in chunks(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(out) if out else np.empty(0))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import chunks
-from .common import cut
+from .common import chunks, cut
 from .words import Words
 
 LABELLERS, DIMENSIONS, SAMPLE, THRESHOLD = 10, 1024, 4000, 0.5
@@ -169,7 +168,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             codes, rows, at = [], [], 0
             chosen = batch.column("taken").to_pylist()
-            for part in chunks(batch.column("text").to_pylist()):
+            for part in chunks(batch.column("text")):
                 for s, raw in _seen(part):
                     codes.append(_code(votes(s)))
                     rows.append(features(s, raw).astype("<f4").tobytes() if chosen[at] and s["words"] else None)
@@ -196,7 +195,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weak, score = [], []
-            for part in chunks(batch.column("text").to_pylist()):
+            for part in chunks(batch.column("text")):
                 a, b = model.score(part)
                 weak += a
                 score += b
@@ -213,7 +212,7 @@ def keep_good(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [s >= THRESHOLD for part in chunks(batch.column("text").to_pylist()) for s in model.score(part)[1]]
+            keep = [s >= THRESHOLD for part in chunks(batch.column("text")) for s in model.score(part)[1]]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -20,12 +20,11 @@ def test_hilbert_is_a_path():
 
 
 def test_pieces(spark):
-    texts = [None, "", "a", "Hello,  WORLD\n'tis", "é́ İ x's <|endoftext|> \t 漢字 12", "word " * 9000, "word " * 9000, "x" * 50_000]
+    texts = [None, "", "a", "Hello,  WORLD\n'tis", "é́ İ x's <|endoftext|> \t 漢字 12", "a <|endoftext|> b<|startoftext|>é c <|ENDOFTEXT|>", "<|endoftext|>", "word " * 9000, "word " * 9000, "x" * 50_000]
     rows = [(i, t, "b") for i, t in enumerate(texts)] + [(2, "a", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
     got = C.pieces(docs, PATH).collect()
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     whole = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t, _ in rows}
     assert sum(r["length"] for r in got) == sum(len(whole[i]) for i, _, _ in rows)
     for r in got:
@@ -48,9 +47,8 @@ def test_empty(spark):
 
 def test_words_as_the_library_does():
     rng = random.Random(4)
-    letters = [*"abcdeABC 0123'sтüÉßÆŸñ漢字😀\n\t.,!_-|&", "İ", "'s", "'LL", "  ", "̈", "ǆ", "ŉ", "Ω", "the", "ing"]
+    letters = [*"abcdeABC 0123'sтüÉßÆŸñ漢字😀\n\t.,!_-|&", "İ", "'s", "'LL", "  ", "̈", "ǆ", "ŉ", "Ω", "the", "ing", "<|endoftext|>", "<|startoftext|>", "<|", "|>"]
     coder, tokenizer = C.tokens_of(PATH), Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
     want = [[*e.ids, 2] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, coder.kind).tolist() for x in coder.encode_batch(texts)] == want

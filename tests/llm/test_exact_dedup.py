@@ -24,8 +24,8 @@ def frame(spark, rows=ROWS):
 def test_against_brute_force(spark):
     got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in E.query(frame(spark)).collect()}
     assert got == brute(ROWS)
-    left = E.drop_exact_copies(frame(spark))
-    assert left.columns == ["doc_id", "text", "digest", "keep_id"]
+    left = E.drop_exact_copies(frame(spark).selectExpr("*", "'w' word", "1 bits", "2 _word", "3 _bit", "4 at", "5 bit", "6 normalised", "7 turn", "8 `a.b`"))
+    assert left.columns == ["doc_id", "text", "digest", "keep_id", "word", "bits", "_word", "_bit", "at", "bit", "normalised", "turn", "a.b"]
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(i for i, x in got.items() if x[2])
 
 
@@ -36,6 +36,12 @@ def test_equal_digests_of_different_texts_are_told_apart(spark):
     assert got == {i: x[:3] for i, x in brute(ROWS).items()}
 
 
+def test_drops_are_judged_by_row(spark):
+    rows = [(1, "a"), (2, "a"), (2, "b"), (2, "b"), (2, "c"), (None, "c"), (None, "d"), (None, "d"), (3, "d")]
+    left = sorted(((r["doc_id"], r["text"]) for r in E.drop_exact_copies(frame(spark, rows)).collect()), key=str)
+    assert left == [(1, "a"), (2, "b"), (2, "c"), (3, "d")]
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert E.query(empty).collect() == [] and E.drop_exact_copies(empty).collect() == []

@@ -43,7 +43,7 @@ def made(seed=3):
 
 def test_against_brute_force(spark):
     rows = made()
-    docs = spark.createDataFrame([(i, t, "s", i) for i, t in rows], "doc_id long, text string, sig string, rep long").repartition(4)
+    docs = spark.createDataFrame([(i, t, "s", i) for i, t in rows], "doc_id long, text string, sig string, rep long").selectExpr("*", "'w' word", "1 bits", "2 _word", "3 _bit", "4 id", "5 at").repartition(4)
     want = brute(rows, 85)
     for small in (32, 3):
         got = M.near_groups(docs, small=small).collect()

@@ -55,6 +55,16 @@ def test_repeated_rows_and_ids(spark, monkeypatch):
     assert sorted(r["shard"] for r in R.query(twice).collect()) == [0, 1, 2, 3]
 
 
+def test_movement_is_limited(spark):
+    """A ninth shard, or one document in a hundred more, moves some documents; without the ring nearly all would move."""
+    docs = spark.range(20_000).selectExpr("id doc_id", "'a' text")
+    where = lambda df, n: {r["doc_id"]: r["shard"] for r in R.assign(df, n).collect()}
+    old, grown, more = where(docs, 8), where(docs, 9), where(docs.unionByName(spark.range(20_000, 20_200).selectExpr("id doc_id", "'a' text")), 8)
+    moved = [sum(old[i] != new[i] for i in old) / len(old) for new in (grown, more)]
+    print(moved)
+    assert moved[0] < 0.5 and moved[1] < 0.15
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert R.query(empty).collect() == []

@@ -53,7 +53,8 @@ def test_against_brute_force(spark):
 
 def test_cut_leaves_each_passage_once(spark):
     rows = made(2)
-    docs = spark.createDataFrame([(i, t, len(t or ""), "s") for i, t in rows] + [(None, "n", 1, "s")], "doc_id long, text string, n_chars long, spans string").repartition(3)
+    docs = spark.createDataFrame([(i, t, len(t or ""), "s") for i, t in rows] + [(None, "n", 1, "s")], "doc_id long, text string, n_chars long, spans string")
+    docs = docs.selectExpr("*", "'w' word", "1 bits", "2 _word", "3 _bit", "4 id", "5 _id", "6 _spans", "7 gone", "8 _gone", "9 at", "1 `a b`").repartition(3)
     out = S.cut_repeats(docs)
     assert out.columns == docs.columns
     left = {r["doc_id"]: r for r in out.collect()}

@@ -14,16 +14,29 @@ def brute_kernel(a, b):
         for i, j, m in itertools.combinations(range(len(w)), 3):
             if m - i < X.SPAN:
                 feature.setdefault(w[i] + w[j] + w[m], [0, 0])[k] += X.DECAY ** (m - i - 2)
-    norm = [sum(X.DECAY ** (2 * (m - i - 2)) for i, j, m in itertools.combinations(range(len(w) + 2), 3) if m - i < X.SPAN) ** 0.5 for w in (a, b)]
+    norm = [sum(x[k] ** 2 for x in feature.values()) ** 0.5 for k in (0, 1)]
     return sum(x * y for x, y in feature.values()) / norm[0] / norm[1]
 
 
 def test_kernel():
-    words = ["idiot", "idxiot", "toidi", "aab", "scum"]
+    words = ["idiot", "idxiot", "toidi", "aab", "scum", "aaaa", "grobnik", "grobnik" * 8]
     got = X.similarities(words, X.vectors(words))
     for i, j in itertools.product(range(len(words)), repeat=2):
         assert abs(got[i, j] - brute_kernel(words[i], words[j])) < 1e-5
-    assert got[0, 1] > 2 * got[0, 2]
+    assert got[0, 1] > 2 * got[0, 2] and np.abs(got).max() <= 1 + 1e-5
+
+
+def test_screen_loses_nothing_that_counts():
+    """Values with the screen and without it: no label of an insult changes, whole or with a letter put in."""
+    docs, labels = made()
+    model = X.learn([d[1] for d in docs[: len(labels)]], [t for _, _, t in labels])
+    words = [w[:k] + c + w[k:] for w in ("numpty", "dimwit", "blockhead") for k in range(1, len(w)) for c in ("", "x", "q", "-")]
+    texts = [f"{docs[1][1]} {w} {docs[2][1]}" for w in words] + [d[1] for d in docs[:200]]
+    screened = model.score(texts)
+    model.least = -np.inf
+    whole = model.score(texts)
+    lost = ((whole >= 0.5) & (screened < 0.5)).sum()
+    assert lost <= 0.01 * len(texts), lost
 
 
 def made(n=900):
