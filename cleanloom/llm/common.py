@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROWS_A_TASK = 100_000
 #: Characters that a task handles at once.
 CHUNK = 250_000
+#: Rows and bytes of an Arrow batch.
+ARROW_ROWS, ARROW_BYTES = 1000, "8m"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,7 +54,14 @@ def cleanup(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Let this session hand texts to Python in small batches, so that a worker's memory doesn't follow the length of 10,000 texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
