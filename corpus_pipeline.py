@@ -10,26 +10,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cleanloom.llm import curve_packing, exact_dedup, minhash_bayes, suffix_dedup, weak_quality
-from cleanloom.llm.common import cut, documents
+from cleanloom.llm.common import bounded, cut, documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return weak_quality.keep_good(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return minhash_bayes.drop_near_copies(docs, 0.8)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return suffix_dedup.cut_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return curve_packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
