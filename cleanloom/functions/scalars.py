@@ -1,6 +1,7 @@
 """Scalar functions as Column expressions: missing values, white space, e-mail, phone, date, number and case.
 
-All stay inside whole-stage codegen but for `ascii_fold`, for which Spark has no built-in. Inputs may be of any type; text
+All are built-in expressions but for `ascii_fold`, for which Spark has none. Those that use `let`, a lambda over an array of one value,
+are evaluated without whole-stage codegen. Inputs may be of any type; text
 functions work on their string form. Gaps, stated in the README: phone rules follow public numbering plans rather than a full
 metadata library (G1), and dates that lack a part are left as they are (G4).
 """
@@ -21,7 +22,7 @@ EMAIL = r"(?U)^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$"
 SCIENTIFIC = r"(?U)^[+-]?\d+(\.\d+)?[eE][+-]?\d+$"
 #: White space as Python's str.strip() and \s have it: Unicode's, and U+001C to U+001F.
 _SPACE = r"[\s\x1c-\x1f]"
-#: Exponents beyond this are left as text.
+#: Numbers with a greater exponent are left as text, since their digits would take that much room.
 MAX_EXPONENT = 400
 
 # Calling code, trunk prefix, and least and greatest length of national numbers, by region.

@@ -61,7 +61,7 @@ def audit_import(expected: DataFrame, exported: DataFrame, key: str, fields: lis
         joined = left.join(right, "key")
     pairs = [F.struct(F.lit(k).alias("pos"), F.lit(f).alias("field"), F.col(f"e{k}").alias("expected"), F.col(f"i{k}").alias("imported")) for k, f in enumerate(fields)]
     if pairs:
-        # Unequal fields are picked before rows multiply.
+        # Only unequal fields become rows.
         different = F.filter(F.array(*pairs), lambda p: p["expected"] != p["imported"])
         long = joined.select("key", "erid", "irid", F.explode(different).alias("m"))
         mismatches = long.orderBy("m.pos", "erid", "irid").select("key", "m.field", "m.expected", "m.imported")

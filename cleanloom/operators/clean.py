@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -31,6 +32,10 @@ class CleaningResult:
     duplicates_removed: int
     rows_in: int
     rows_out: int
+    held: DataFrame  # persisted until release()
+
+    def release(self) -> None:
+        self.held.unpersist()
 
     def actions_frame(self) -> DataFrame:
         return self.frame.sparkSession.createDataFrame(self.actions, LOG)
@@ -83,22 +88,35 @@ def cleaned(df: DataFrame, roles: dict[str, str], config: CleaningConfig) -> Dat
 
 def change_counts(df: DataFrame, roles: dict[str, str], config: CleaningConfig) -> list[tuple[str, str, int, str]]:
     """(column, action, records, detail) of the steps that changed a value; null on either side is no change."""
+    return _counted(df, roles, config)[1]
+
+
+def _counted(df: DataFrame, roles: dict[str, str], config: CleaningConfig) -> tuple[int, list[tuple[str, str, int, str]]]:
+    """The number of rows and what change_counts() says, in one pass."""
     made, changes = stages(df, roles, config)
-    if not changes:
-        return []
-    counts = made.agg(*[F.count_if(F.col(f"`{b}`").cast("string") != F.col(f"`{a}`").cast("string")).alias(f"n{k}") for k, (_, _, _, b, a) in enumerate(changes)]).first()
-    return [(c, action, counts[k], detail) for k, (c, action, detail, _, _) in enumerate(changes) if counts[k]]
+    counts = made.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(f"`{b}`").cast("string") != F.col(f"`{a}`").cast("string")).alias(f"n{k}") for k, (_, _, _, b, a) in enumerate(changes)]).first()
+    return counts["rows"], [(c, action, counts[f"n{k}"], detail) for k, (c, action, detail, _, _) in enumerate(changes) if counts[f"n{k}"]]
 
 
 def fills(df: DataFrame, roles: dict[str, str], tokens: tuple[str, ...] = S.MISSING) -> dict[str, tuple[object, int]]:
     """For each column with missing values what fills them (median of numeric columns, else the smallest mode) and how many there are."""
-    asked = []
-    for k, (c, role) in enumerate(roles.items()):
-        own, missing = F.col(f"`{c}`"), S.is_missing(f"`{c}`", tokens)
-        there = F.when(~missing, own)
-        asked += [F.count_if(missing).alias(f"n{k}"), (F.median(there.cast("string").try_cast("double")) if role == "numeric" else F.mode(there, True)).alias(f"v{k}")]
-    row = df.agg(*asked).first() if asked else {}
-    return {c: (row[f"v{k}"], row[f"n{k}"]) for k, c in enumerate(roles) if row[f"n{k}"] and row[f"v{k}"] is not None}
+    names = list(roles)
+    if not names:
+        return {}
+    missing = [S.is_missing(f"`{c}`", tokens) for c in names]
+    lacking = df.agg(*[F.count_if(m).alias(f"n{k}") for k, m in enumerate(missing)]).first()
+    open_ = [k for k in range(len(names)) if lacking[f"n{k}"]]
+    text = [k for k in open_ if roles[names[k]] != "numeric"]
+    found: dict[int, object] = {}
+    if text:
+        # Counts of (column, value) are combined map-side and spread by both; a row for each column remains.
+        each = F.array(*[F.struct(F.lit(k).alias("k"), F.when(~missing[k], F.col(f"`{names[k]}`").cast("string")).alias("v")) for k in text])
+        counts = df.select(F.explode(each).alias("e")).select("e.*").filter("v is not null").groupBy("k", "v").count()
+        found |= {r["k"]: r["best"]["v"] for r in counts.groupBy("k").agg(F.min(F.struct((-F.col("count")).alias("n"), "v")).alias("best")).collect()}
+    if numbers := [k for k in open_ if k not in text]:
+        row = df.agg(*[F.median(F.when(~missing[k], F.col(f"`{names[k]}`")).cast("string").try_cast("double")).alias(f"v{k}") for k in numbers]).first()
+        found |= {k: row[f"v{k}"] for k in numbers}
+    return {names[k]: (found[k], lacking[f"n{k}"]) for k in open_ if found.get(k) is not None}
 
 
 def fill_missing(df: DataFrame, values: dict[str, tuple[object, int]], tokens: tuple[str, ...] = S.MISSING) -> DataFrame:
@@ -121,8 +139,7 @@ def clean_data(source: DataFrame, config: CleaningConfig | None = None) -> Clean
     df = with_order(df)
     roles = detect_column_roles(df, config)
     columns, tokens = list(roles), tuple(config.missing_value_tokens)
-    rows_in = df.count()
-    actions = change_counts(df, roles, config)
+    rows_in, actions = _counted(df, roles, config)
     out = cleaned(df, roles, config)
     rows = rows_in
     if config.missing_value_strategy == "auto":
@@ -134,6 +151,8 @@ def clean_data(source: DataFrame, config: CleaningConfig | None = None) -> Clean
         rows = out.count()
         if rows < rows_in:
             actions.append(("*", "dropped_empty_rows", rows_in - rows, ""))
+    # What follows counts rows and numbers them: all steps above run once for that.
+    out = held = out.persist(StorageLevel.MEMORY_AND_DISK)
     removed = 0
     if config.remove_duplicates and columns:
         out = first_of_each(out, [c for c in config.duplicate_subset if c in columns] or columns)
@@ -142,4 +161,4 @@ def clean_data(source: DataFrame, config: CleaningConfig | None = None) -> Clean
         if removed:
             actions.append(("*", "removed_duplicates", removed, ""))
     frame = numbered(out).drop(RID).withColumnRenamed("_row", RID)
-    return CleaningResult(frame, actions, roles, removed, rows_in, rows)
+    return CleaningResult(frame, actions, roles, removed, rows_in, rows, held)

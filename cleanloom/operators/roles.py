@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.scalars import is_missing, is_valid_email
 from ..sources.config import CleaningConfig
-from ..sources.rows import RID
+from ..sources.rows import RID, with_order
 
 # Names that tell a role, in the order in which they are tried; a share of valid e-mail addresses that does.
 NAMES = {
@@ -33,15 +33,21 @@ def detect_column_roles(df: DataFrame, config: CleaningConfig | None = None) ->
     found: dict[str, tuple[int, float]] = {}
     if open_columns:
         head = df.orderBy(RID) if RID in df.columns else df
-        # One job for the columns without nulls among the first rows; others need a look further on.
+        # One job for the columns without nulls among the first rows; one more for all that need a look further on.
         stats = lambda c: F.struct(F.count(c).alias("n"), F.count_if(~is_missing(c)).alias("some"), F.count_if(~is_missing(c) & is_valid_email(c)).alias("mails"))
         first = head.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(open_columns)]).limit(SAMPLE)
         row = first.agg(F.count(F.lit(1)).alias("rows"), *[stats(f"c{k}").alias(f"c{k}") for k in range(len(open_columns))]).first()
         for k, c in enumerate(open_columns):
             got = row[f"c{k}"]
-            if got["n"] < row["rows"]:
-                got = head.select(F.col(f"`{c}`").alias("c")).filter("c is not null").limit(SAMPLE).agg(stats("c").alias("c")).first()["c"]
             found[c] = (got["some"], got["mails"] / got["some"] if got["some"] else 0.0)
+        if holes := [k for k, c in enumerate(open_columns) if row[f"c{k}"]["n"] < row["rows"]]:
+            each = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"`{open_columns[k]}`").cast("string").alias("v")) for k in holes])
+            long = with_order(df).select(RID, F.explode(each).alias("e")).select(RID, "e.*").filter("v is not null")
+            # The first SAMPLE values of each column are picked in every task before they are shuffled.
+            turn = F.row_number().over(Window.partitionBy("k").orderBy(RID))
+            rows = long.withColumn("n", turn).filter(F.col("n") <= SAMPLE).groupBy("k").agg(stats("v").alias("c")).collect()
+            seen = {r["k"]: r["c"] for r in rows}
+            found |= {open_columns[k]: (seen[k]["some"], seen[k]["mails"] / seen[k]["some"] if seen[k]["some"] else 0.0) if k in seen else (0, 0.0) for k in holes}
     for c in open_columns:
         some, share = found[c]
         named = next((role for role, pattern in NAMES.items() if re.search(pattern, c, re.I) or role == "email" and share > EMAIL_SHARE), None)

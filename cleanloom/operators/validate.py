@@ -12,6 +12,7 @@ from ..sources.rows import RID, numbered, with_order
 
 #: Spreadsheet rows: the header is row 1.
 FIRST_ROW = 2
+#: Names of checks and severities, and the wording of messages, here and below.
 ISSUE = "struct<field:string,check:string,severity:string,message:string>"
 
 

@@ -43,6 +43,7 @@ class PipelineResult:
 
     def release(self) -> None:
         self.mapping.frame.unpersist()
+        self.cleaning.release()
 
 
 def run_pipeline(source: DataFrame, crm: str | MappingConfig = "hubspot", cleaning_config: CleaningConfig | None = None, project_name: str = "Data migration", source_filename: str = "", strict_dates: bool = True, report: bool = True) -> PipelineResult:
@@ -52,7 +53,7 @@ def run_pipeline(source: DataFrame, crm: str | MappingConfig = "hubspot", cleani
     # Validation, report and sinks all read the mapped table.
     mapping.frame = mapping.frame.persist(StorageLevel.MEMORY_AND_DISK)
     target = mapping.config
-    validation = validate_data(mapping.frame, target.required_fields(), target.unique_fields(), config.date_format, config.default_region, strict_dates)
+    validation = validate_data(mapping.frame, target.marked("required"), target.marked("unique"), config.date_format, config.default_region, strict_dates)
     page = ""
     if report:
         page = render_qa_report(validation, mapping.mapping_log(), cleaning.actions_frame(), mapping.frame, project_name, source_filename, target.crm, structure_summary(mapping.frame.drop(RID)))

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
-import shutil
-import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -69,8 +68,11 @@ def size_of(spark: SparkSession, path: str) -> int:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
 
 
-def read_delimited(spark: SparkSession, path: str | Path, encoding: str | None = None, max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame:
-    """All columns as strings, blanks as empty text, with _rid. Rows shorter than the header are filled up; longer ones raise."""
+def read_delimited(spark: SparkSession, path: str | Path, encoding: str | None = None, max_rows: int | None = None, max_bytes: int | None = None, multiline: bool = True) -> DataFrame:
+    """All columns as strings, blanks as empty text, with _rid. Rows shorter than the header are filled up; longer ones raise.
+
+    multiline: fields may hold line breaks, which makes a file one task. Without them, False lets Spark split large files.
+    """
     path = str(path)
     if max_bytes is not None and (size := size_of(spark, path)) > max_bytes:
         raise ValueError(f"The file has {size} bytes; at most {max_bytes} are taken")
@@ -80,23 +82,39 @@ def read_delimited(spark: SparkSession, path: str | Path, encoding: str | None =
     names = mangle(header)
     # A field beyond the header's, where a row has one, lands in _more; checked as rows are read, without a pass of its own.
     schema = StructType([StructField(n, StringType()) for n in [*names, "_more"]])
-    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', encoding=encoding, enforceSchema=True)
+    df = spark.read.schema(schema).csv(path, header=True, multiLine=multiline, escape='"', encoding=encoding, enforceSchema=True)
     said = F.raise_error(f"A row has more than the {len(names)} fields of the header").cast("boolean")
     df = df.filter(F.when(F.col("_more").isNotNull(), said).otherwise(F.lit(True)))
     out = with_order(df.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names]))
     return out.orderBy(RID).limit(max_rows) if max_rows is not None else out
 
 
+def read_bytes(spark: SparkSession, data: bytes, folder: str, **options) -> DataFrame:
+    """read_delimited of an upload's bytes, which are first written as a file to a folder that all executors share."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/upload-{uuid.uuid4().hex}.csv")
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return read_delimited(spark, at.toString(), **options)
+
+
 def write_single(df: DataFrame, path: str | Path, order: str | None = None) -> None:
     """One CSV file with a header, in the order of a column that isn't written; blanks and nulls are bare."""
-    rows = df.orderBy(order).drop(order) if order else df
-    with tempfile.TemporaryDirectory() as folder:
-        rows.coalesce(1).write.csv(f"{folder}/out", header=True, escape='"', emptyValue="")
-        part = next(iter(Path(folder, "out").glob("part-*.csv")), None)
-        if part is None:
-            Path(path).write_text(",".join(df.columns) + "\n")
-        else:
-            shutil.move(part, path)
+    rows, spark = df.orderBy(order).drop(order) if order else df, df.sparkSession
+    folder = f"{path}.parts-{uuid.uuid4().hex}"  # beside the target, on its file system, which all executors share
+    rows.coalesce(1).write.csv(folder, header=True, escape='"', emptyValue="")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    target = at(str(path))
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    made = files.globStatus(at(f"{folder}/part-*"))
+    if len(made) != 1:
+        raise RuntimeError(f"{folder} holds {len(made)} files where one was written; the driver and the executors don't share it")
+    files.delete(target, False)
+    if not files.rename(made[0].getPath(), target):
+        raise RuntimeError(f"{folder} can't be renamed to {path}")
+    files.delete(at(folder), True)
 
 
 def package(files: list[Path], target: Path) -> Path:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RID = "_rid"
+#: A block has a million rows at most; a table of 10**12 rows has some 10**6 blocks.
+BLOCK = 20
 
 
 def with_order(df: DataFrame) -> DataFrame:
@@ -16,10 +18,10 @@ def with_order(df: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     """df with contiguous numbers from 0 in the order of _rid.
 
-    The upper bits of _rid are the source partition: rows are counted for each (a row a partition, broadcast) and ranked within
-    it, so a recomputed task gives the same numbers.
+    Rows are counted for each block of 2**BLOCK values of _rid (a row a block, broadcast) and ranked within it, so a recomputed task
+    gives the same numbers, and a source partition of any size is spread over as many tasks as it has blocks.
     """
-    block = F.shiftright(F.col(RID), 33)
+    block = F.shiftright(F.col(RID), BLOCK)
     keyed = df.withColumn("_block", block)
     sizes = keyed.groupBy("_block").count()
     before = sizes.select(F.col("_block").alias("_at"), (F.sum("count").over(Window.orderBy("_block")) - F.col("count")).alias("_before"))
