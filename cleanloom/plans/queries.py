@@ -130,7 +130,7 @@ _CLEAN = ", ".join(f'{X[k]} AS "{c}"' for c, k in _NAMED.items())
 _add("clean_values", lambda spark, d: _cleaned(spark, d).select(*COLUMNS), f"SELECT {_CLEAN} FROM {_ALL}")
 _add("fill_mode", lambda spark, d: clean.fill_missing(t := contacts(spark, d).select(RID, "n", "City"), clean.fills(t, {"City": "text"})).select("n", "City"), f"SELECT n, CASE WHEN n % 4 = 0 THEN (SELECT c FROM (SELECT concat('City', n % 5) AS c, count(*) AS k FROM {_ALL} WHERE n % 4 <> 0 GROUP BY 1) ORDER BY k DESC, c LIMIT 1) ELSE concat('City', n % 5) END AS \"City\" FROM {_ALL}")
 _add("fill_median", lambda spark, d: clean.fill_missing(t := contacts(spark, d).select(RID, "n", F.when(F.col("n") % 6 != 0, F.col("Balance")).alias("Balance")), clean.fills(t, {"Balance": "numeric"})).select("n", "Balance"), f'SELECT n, CASE WHEN n % 6 <> 0 THEN c_acctbal ELSE (SELECT median(c_acctbal) FROM {_ROWS} JOIN {_ALL} USING (n) WHERE n % 6 <> 0) END AS "Balance" FROM {_ROWS} JOIN {_ALL} USING (n)')
-_add("drop_empty_rows", lambda spark, d: clean.drop_empty_rows(contacts(spark, d), ["City", "Created Date"]).select("n"), f"SELECT n FROM {_ALL} WHERE NOT (n % 4 = 0 AND n % 4 = 3)")
+_add("drop_empty_rows", lambda spark, d: clean.drop_empty_rows(contacts(spark, d), ["City", "Email Address"]).select("n"), f"SELECT n FROM {_ALL} WHERE NOT (n % 4 = 0 AND n % 17 = 0)")
 _add("dedupe_all", lambda spark, d: clean.first_of_each(_cleaned(spark, d), COLUMNS).select("First Name", "SKU"), f'SELECT {X["first"]} AS "First Name", {X["sku"]} AS "SKU" FROM {_ROWS}')
 _add("dedupe_subset", lambda spark, d: clean.first_of_each(contacts(spark, d), ["Last Name", "City"]).select("n", "Last Name", "City"), f"SELECT min(n) AS n, {X['last']} AS \"Last Name\", {X['city']} AS \"City\" FROM {_ROWS} GROUP BY 2, 3")
 _add("row_number", lambda spark, d: numbered(contacts(spark, d)).select("n", F.col("_row").alias("row")), f"SELECT n, row_number() OVER (ORDER BY again, n) - 1 AS row FROM {_ALL}")
@@ -161,7 +161,6 @@ def _issue_sql(check: str) -> str:
 for _name, _field, _check in (("completeness", "email", "completeness"), ("uniqueness", "email", "uniqueness"), ("email", "email", "validity"), ("phone", "phone", "validity")):
     _add(f"issues_{_name}", lambda spark, d, f=_field, c=_check: _issues(spark, d).filter((F.col("field") == f) & (F.col("check") == c)).drop("pos"), _issue_sql(_name))
 _add("issues_all", lambda spark, d: _issues(spark, d).drop("pos"), _issue_sql("all"))
-_add("checks_by_type", lambda spark, d: _issues(spark, d).groupBy("check").agg(F.count(F.lit(1)).alias("failed")), f'SELECT "check", count(*) AS failed FROM ({_issue_sql("all")}) GROUP BY 1')
 _add("severity_counts", lambda spark, d: _issues(spark, d).groupBy("severity").agg(F.count(F.lit(1)).alias("issues"), F.count_distinct("row").alias("rows")), f'SELECT severity, count(*) AS issues, count(DISTINCT row) AS rows FROM ({_issue_sql("all")}) GROUP BY 1')
 _add("passing_rows", lambda spark, d: contacts(spark, d).join(_issues(spark, d).select(F.col("row").alias(RID)).distinct(), RID, "left_anti").select("n"), f"SELECT n FROM {_ALL} WHERE n % 17 <> 0 AND n % 13 <> 0 AND ({_VALID_PHONE}) AND n % 20 <> 0")
 
@@ -182,7 +181,6 @@ _add("audit_missing_keys", _audit("missing_keys"), f"SELECT concat('k', n) AS ke
 _add("audit_unexpected_keys", _audit("unexpected_keys"), f"SELECT concat('new', n) AS key FROM {_ROWS} WHERE n % 11 = 0")
 _add("audit_mismatches", _audit("mismatches"), f"SELECT concat('k', n) AS key, 'name' AS field, {X['first']} AS expected, 'changed' AS imported FROM {_ROWS} WHERE n % 7 = 0 AND n % 11 <> 0")
 _add("audit_by_field", lambda spark, d: spark.createDataFrame(list(audit.audit_import(*_delivered(spark, d), "key").mismatches_by_field().items()), "field string, mismatches long"), f"SELECT 'name' AS field, count(*) AS mismatches FROM {_ROWS} WHERE n % 7 = 0 AND n % 11 <> 0 UNION ALL SELECT 'email', 0")
-_add("structure", lambda spark, d: spark.createDataFrame([(e["type"],) for e in validate.structure_summary(spark.createDataFrame([("", "")], "a string, b string"))["errors"]], "type string"), "SELECT 'blank-row' AS type")
 
 
 def _end_to_end(spark: SparkSession, d: str) -> DataFrame:
