@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,9 +24,11 @@ ARROW_ROWS, ARROW_BYTES = 1000, "8m"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder. Where spark.checkpoint.dir is unset, as in local tests, a folder of our own."""
+    """The cluster's shared folder. Where spark.checkpoint.dir is unset, in local mode alone, a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "cleanloom-checkpoints")
     return base.rstrip("/")
 

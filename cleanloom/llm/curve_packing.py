@@ -32,7 +32,7 @@ SEQUENCE = 4096
 #: Fixed by the contract: the id that ends each document.
 END = 2
 HASHED, DIMENSIONS, BITS = 256, 4, 15
-CACHE = 400_000
+CACHE = 800_000
 CHUNK = 1_000_000
 LONG_UNIT = 60
 SIGNS = (".", ",", ";", ":")

@@ -1,9 +1,8 @@
 """Exact deduplication with a log-structured merge index, in DataFrame operations only.
 
-Level 0: every task is a memtable; it sorts the digests of its rows and flushes them as a run (one Parquet file with a Bloom
-filter on the digest). Level 1: compaction merges the runs, keeping for each digest the smallest identifier and the count.
-A fixed-size filter over the digests that occur more than once then selects the rows that may be hits, and only the texts
-of those are read again, to be compared byte by byte within their digest (least and greatest text, combined map-side, so a
+Level 0: every task is a memtable; it sorts the digests of its rows and flushes them as a run (one Parquet file). Level 1:
+compaction merges the runs, keeping for each digest the smallest identifier and the count. A fixed-size filter over the
+documents whose digest occurs more than once then selects the rows that may be hits, and only the texts of those are read again, to be compared byte by byte within their digest (least and greatest text, combined map-side, so a
 digest that holds a third of all rows moves one pair of texts for each task). Digests whose texts differ are split by text.
 
 Defined cases: a null text is an empty text. Texts are equal when they are identical after every run of white space has become
@@ -15,6 +14,8 @@ by `exact_groups` and kept by `drop_exact_copies`.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,11 +33,53 @@ def sha256(text: Column) -> Column:
 
 def build_index(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> tuple[DataFrame, DataFrame]:
     """Level 0 (doc_id, digest; a row per document) and level 1 (digest, keep_id, group_size), both in the shared folder."""
-    filters = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"}
     runs = docs.select("doc_id", digest(normalised()).alias("digest")).sortWithinPartitions("digest")
-    level0 = cut(runs, "exact-runs", **filters)
+    level0 = cut(runs, "exact-runs")
     merged = level0.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return level0, cut(merged.sortWithinPartitions("digest"), "exact-index", **filters)
+    return level0, cut(merged.sortWithinPartitions("digest"), "exact-index")
+
+
+@dataclass
+class Run:
+    """Digests with their smallest identifier and count, sorted; filter: which digests the run may hold."""
+
+    rows: DataFrame
+    filter: DataFrame
+
+
+class MergeIndex:
+    """An index over batches that come one after the other: each is a run of level 0, and FANOUT runs of a level are merged into one
+    run of the next. A lookup asks each run's filter first and joins only the digests that the run may hold."""
+
+    def __init__(self, digest: Callable[[Column], Column] = sha256, fanout: int = 4) -> None:
+        self.digest, self.fanout = digest, fanout
+        self.levels: list[list[Run]] = []
+
+    def _flush(self, counted: DataFrame, level: int) -> None:
+        rows = cut(counted.sortWithinPartitions("digest"), f"exact-level{level}")
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(Run(rows, cut(key_filter(rows, "digest"), f"exact-filter{level}")))
+        if len(self.levels[level]) >= self.fanout:  # compaction
+            full, self.levels[level] = self.levels[level], []
+            self._flush(_merged([r.rows for r in full]), level + 1)
+
+    def add(self, docs: DataFrame) -> None:
+        each = docs.select(self.digest(normalised()).alias("digest"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+        self._flush(_merged([each]), 0)
+
+    def find(self, docs: DataFrame) -> DataFrame:
+        """doc_id, digest, keep_id and group_size of the rows of docs whose digest an earlier batch has; hits are by digest."""
+        asked = cut(docs.select("doc_id", self.digest(normalised()).alias("digest")), "exact-asked")
+        empty = asked.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")).limit(0)
+        keys = asked.select("digest").distinct()
+        hits = [empty, *(may_contain(keys, run.filter, "digest").join(run.rows, "digest") for level in self.levels for run in level)]
+        return asked.join(_merged([h.select("digest", "keep_id", "group_size") for h in hits]), "digest").select("doc_id", "digest", "keep_id", "group_size")
+
+
+def _merged(runs: list[DataFrame]) -> DataFrame:
+    """One run of several: of each digest the smallest identifier and all its rows."""
+    return reduce(DataFrame.unionByName, runs).groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
 
 def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:

@@ -36,6 +36,19 @@ def test_equal_digests_of_different_texts_are_told_apart(spark):
     assert got == {i: x[:3] for i, x in brute(ROWS).items()}
 
 
+def test_index_of_batches(spark):
+    """Lookups after each batch, over runs of three levels, against all batches so far."""
+    index, seen = E.MergeIndex(fanout=2), {}
+    for k in range(5):
+        batch = [(100 * k + i, f"text {(i * (k + 3)) % 23}" if i else None) for i in range(12)]
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in index.find(frame(spark, batch)).collect()}
+        assert got == {i: (min(seen[t or ""]), len(seen[t or ""])) for i, t in batch if (t or "") in seen}
+        index.add(frame(spark, batch))
+        for i, t in batch:
+            seen.setdefault(t or "", []).append(i)
+    assert [len(level) for level in index.levels] == [1, 0, 1]
+
+
 def test_drops_are_judged_by_row(spark):
     rows = [(1, "a"), (2, "a"), (2, "b"), (2, "b"), (2, "c"), (None, "c"), (None, "d"), (None, "d"), (3, "d")]
     left = sorted(((r["doc_id"], r["text"]) for r in E.drop_exact_copies(frame(spark, rows)).collect()), key=str)
