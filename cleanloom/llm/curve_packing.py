@@ -32,7 +32,7 @@ SEQUENCE = 4096
 #: Fixed by the contract: the id that ends each document.
 END = 2
 HASHED, DIMENSIONS, BITS = 256, 4, 15
-CACHE = 800_000
+CACHE = 500_000
 CHUNK = 1_000_000
 LONG_UNIT = 60
 SIGNS = (".", ",", ";", ":")
@@ -101,25 +101,35 @@ class WordTokens:
             self.cache, self.words = {}, {}
         known, words = self.cache, self.words
         missing = list(set().union(*parts).difference(known))
-        plain, pieces = [], []
+        words_alone, signed, split, pieces, others = [], [], [], [], []
         for u in missing if self.plain else ():
             # Most parts are a word, or a word and a sign: letters and signs are always apart.
-            if u.isascii() and len(u) < LONG_UNIT and (bare := u[:-1] if u[-1:] in SIGNS else u).isalpha():
-                pieces.append((bare.lower(),) if bare is u else (bare.lower(), u[-1]))
-            elif self.plain(u):
+            if u.isascii() and len(u) < LONG_UNIT:
+                if u.isalpha():
+                    words_alone.append(u)
+                    continue
+                if u[-1:] in SIGNS and u[:-1].isalpha():
+                    signed.append(u)
+                    continue
+            if self.plain(u):
+                split.append(u)
                 pieces.append(self.split(u.lower()))
             else:
-                continue
-            plain.append(u)
-        self._new_words(list({p for own in pieces for p in own}.difference(words)))
-        known.update((u, b"".join(map(words.__getitem__, own))) for u, own in zip(plain, pieces, strict=True))
-        others = [u for u in missing if u not in known]
+                others.append(u)
+        if not self.plain:
+            others = missing
+        alone, stems = [u.lower() for u in words_alone], [u[:-1].lower() for u in signed]
+        self._new_words(list(set(alone).union(stems, SIGNS if signed else (), *pieces).difference(words)))
+        ids_of = words.__getitem__
+        known.update(zip(words_alone, map(ids_of, alone), strict=True))
+        known.update((u, ids_of(w) + ids_of(u[-1])) for u, w in zip(signed, stems, strict=True))
+        known.update((u, b"".join(map(ids_of, own))) for u, own in zip(split, pieces, strict=True))
         known.update(zip(others, self._library(others), strict=True))
         end = np.array([END], self.kind).tobytes()
         out = [b"".join(map(known.__getitem__, us)) + end for us in parts]
         for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = ids + end
-        for unit in missing:
+        for unit in (*split, *others):
             if len(unit) > LONG_UNIT:
                 del known[unit]
         return out
