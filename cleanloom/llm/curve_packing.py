@@ -33,7 +33,7 @@ SEQUENCE = 4096
 END = 2
 HASHED, DIMENSIONS, BITS = 256, 4, 15
 CACHE = 500_000
-CHUNK = 1_000_000
+CHUNK = 2_000_000
 LONG_UNIT = 60
 SIGNS = (".", ",", ";", ":")
 
