@@ -32,7 +32,7 @@ SEQUENCE = 4096
 #: Fixed by the contract: the id that ends each document.
 END = 2
 HASHED, DIMENSIONS, BITS = 256, 4, 15
-CACHE = 500_000
+CACHE = 900_000
 CHUNK = 2_000_000
 LONG_UNIT = 60
 SIGNS = (".", ",", ";", ":")
@@ -51,7 +51,6 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         made = json.loads(self.tokenizer.to_str())
         #: Texts that hold one of these are the library's as a whole: it cuts them there before anything else.
         self.special = [x["content"] for x in made.get("added_tokens") or ()]
@@ -87,26 +86,28 @@ class WordTokens:
             ids, k = self.inner[flat], np.arange(len(part))
             ids[k, sizes - 1] = self.last[flat[k, sizes - 1]]
             for i, found in zip(rows, merge_rows(ids, sizes, self.pairs, self.kind.str), strict=True):
-                self.words[words[i]] = found
+                self.cache[words[i]] = found
 
     def _library(self, units: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if any(x in t for x in self.special)]
-        parts = [t.split(" ") for t in texts]
+        # Line feeds part words as spaces do, and a word before one is the word that it is before a space.
+        parts = [(t.replace("\n", " ") if self.plain else t).split(" ") for t in texts]
         for i in whole:
             parts[i] = []
-        if len(self.cache) > CACHE or len(self.words) > CACHE:
-            self.cache, self.words = {}, {}
-        known, words = self.cache, self.words
-        missing = list(set().union(*parts).difference(known))
-        words_alone, signed, split, pieces, others = [], [], [], [], []
+        units = set().union(*parts)
+        if len(self.cache) > CACHE:  # what this batch needs stays
+            self.cache = {u: self.cache[u] for u in units.intersection(self.cache)}
+        known = self.cache
+        missing = list(units.difference(known))
+        alone, signed, split, pieces, others = [], [], [], [], []
         for u in missing if self.plain else ():
             # Most parts are a word, or a word and a sign: letters and signs are always apart.
-            if u.isascii() and len(u) < LONG_UNIT:
+            if len(u) < LONG_UNIT and (u.isascii() or self.plain(u)):
                 if u.isalpha():
-                    words_alone.append(u)
+                    alone.append(u)
                     continue
                 if u[-1:] in SIGNS and u[:-1].isalpha():
                     signed.append(u)
@@ -118,20 +119,22 @@ class WordTokens:
                 others.append(u)
         if not self.plain:
             others = missing
-        alone, stems = [u.lower() for u in words_alone], [u[:-1].lower() for u in signed]
-        self._new_words(list(set(alone).union(stems, SIGNS if signed else (), *pieces).difference(words)))
-        ids_of = words.__getitem__
-        known.update(zip(words_alone, map(ids_of, alone), strict=True))
+        lower, stems = [u.lower() for u in alone], [u[:-1].lower() for u in signed]
+        # A word or sign by itself is a part too, with the same ids.
+        new = set(lower).union(stems, SIGNS if signed else (), *pieces).difference(known)
+        self._new_words(list(new))
+        ids_of = known.__getitem__
+        known.update(zip(alone, map(ids_of, lower), strict=True))
         known.update((u, ids_of(w) + ids_of(u[-1])) for u, w in zip(signed, stems, strict=True))
         known.update((u, b"".join(map(ids_of, own))) for u, own in zip(split, pieces, strict=True))
         known.update(zip(others, self._library(others), strict=True))
         end = np.array([END], self.kind).tobytes()
-        out = [b"".join(map(known.__getitem__, us)) + end for us in parts]
+        out = [b"".join(map(ids_of, us)) + end for us in parts]
         for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = ids + end
-        for unit in (*split, *others):
+        for unit in (*split, *others, *new):
             if len(unit) > LONG_UNIT:
-                del known[unit]
+                known.pop(unit, None)
         return out
 
 
