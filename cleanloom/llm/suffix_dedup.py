@@ -10,7 +10,8 @@
 
 A window is a repeat if it occurs before, in the order of (doc_id, word); its first occurrence is not reported. Documents with
 the same words as an earlier one are set apart first and reported whole, so large groups of copies bring no windows at all. A
-passage that a third of all documents share is spread by the range sort, and counted with map-side combination.
+passage that a third of all documents share is spread by the range sort, counted with map-side combination, and joined with its
+first occurrence in parts.
 
 Defined cases: a null text is empty; texts under LENGTH words have no repeats. Rows with a null doc_id take no part; a doc_id that is no
 number raises. Rows that
@@ -34,6 +35,8 @@ from .common import chunks, cut, fresh, key_filter, may_contain, quoted
 from .words import STEP, Words, mix, powers
 
 LENGTH, SPARSE, KGRAM = 50, 32, 8
+#: Windows with more occurrences than HOT, and than a millionth of all, are joined in SALTS parts.
+HOT, SALTS = 10_000, 256
 #: Odd, for a second and independent hash.
 STEP2 = 0xA0761D6478BD642F
 
@@ -154,6 +157,21 @@ def _windows(docs: DataFrame, places: DataFrame) -> DataFrame:
     return texts.join(places, "doc_id").mapInArrow(run, "h1 long, h2 long, doc_id long, start int")
 
 
+def _again(windows: DataFrame) -> DataFrame:
+    """doc_id, start, first_doc_id and first_start of the windows that occur before; windows is a written table."""
+    firsts = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    firsts = cut(firsts, "suffix-firsts")
+    # At most a million windows are that frequent, so the filter over them stays sparse. It splits both sides alike.
+    hot = cut(key_filter(firsts.filter(F.col("n") > max(HOT, windows.count() // 1_000_000)), "h1"), "suffix-hot")
+    keys = ["h1", "h2"]
+    cold = may_contain(windows, hot, "h1", found=False).join(may_contain(firsts, hot, "h1", found=False), keys)
+    parts = may_contain(firsts, hot, "h1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = may_contain(windows, hot, "h1").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
+    both = cold.unionByName(salted.join(parts, [*keys, "salt"]).drop("salt"))
+    again = both.select("doc_id", "start", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+    return again.filter("doc_id <> first_doc_id or start <> first_start").distinct()
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """A row for each repeated span: doc_id, start, n_words, and first_doc_id, first_start of where it occurs first."""
     table = cut(suffixes(docs), "suffixes")
@@ -162,10 +180,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     copies = cut(wholes.join(groups, ["key", "other"]).filter("doc_id <> rep").select("doc_id", "rep", "n_words").distinct(), "suffix-copies")
     places = table.filter("word >= 0").select("key", "doc_id", "word").join(copies.select("doc_id"), "doc_id", "left_anti")
     found = cut(_repeated_places(cut(places, "suffix-places")), "suffix-repeated")
-    windows = _windows(docs, found)
-    firsts = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = windows.join(firsts, ["h1", "h2"]).select("doc_id", "start", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
-    again = again.filter("doc_id <> first_doc_id or start <> first_start").distinct()
+    again = _again(cut(_windows(docs, found), "suffix-windows"))
     # Consecutive windows of one alignment form a run; a document's windows are bounded by its own length.
     order = Window.partitionBy("doc_id").orderBy("start")
     joined = (F.lag("start").over(order) == F.col("start") - 1) & (F.lag("first_doc_id").over(order) == F.col("first_doc_id")) & (F.lag("first_start").over(order) == F.col("first_start") - 1)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from cleanloom.llm import suffix_dedup as S
 
 N = S.LENGTH
@@ -38,7 +39,10 @@ def made(seed=1):
     return list(enumerate(texts))
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [S.HOT, 3])
+def test_against_brute_force(spark, monkeypatch, hot):
+    """With hot=3 most of the shared windows are joined in parts."""
+    monkeypatch.setattr(S, "HOT", hot)
     rows = made()
     docs = spark.createDataFrame([(i, t, 7, 1) for i, t in rows], "doc_id long, text string, word int, key int").repartition(5)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
