@@ -27,7 +27,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
@@ -163,11 +163,13 @@ def _again(windows: DataFrame) -> DataFrame:
     firsts = cut(firsts, "suffix-firsts")
     # At most a million windows are that frequent, so the filter over them stays sparse. It splits both sides alike.
     hot = cut(key_filter(firsts.filter(F.col("n") > max(HOT, windows.count() // 1_000_000)), "h1"), "suffix-hot")
-    keys = ["h1", "h2"]
-    cold = may_contain(windows, hot, "h1", found=False).join(may_contain(firsts, hot, "h1", found=False), keys)
-    parts = may_contain(firsts, hot, "h1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = may_contain(windows, hot, "h1").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
-    both = cold.unionByName(salted.join(parts, [*keys, "salt"]).drop("salt"))
+    every, own = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))), F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int")
+
+    def parted(df: DataFrame, salt: Column) -> DataFrame:
+        rest = may_contain(df, hot, "h1", found=False).withColumn("salt", F.lit(0))
+        return may_contain(df, hot, "h1").withColumn("salt", salt).unionByName(rest)
+
+    both = parted(windows, own).join(parted(firsts, every), ["h1", "h2", "salt"])
     again = both.select("doc_id", "start", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
     return again.filter("doc_id <> first_doc_id or start <> first_start").distinct()
 
