@@ -6,11 +6,11 @@
    neighbours; the sorted partitions' first and last rows (two a partition) are compared apart.
 2. From each place whose suffix repeats, the match is extended left and right: of the LENGTH-word windows for which this
    place is the minimiser, each that occurs elsewhere is a match, and consecutive windows with one alignment are one span.
-   Windows are compared by 128-bit hashes.
+   Windows are range-sorted by 128-bit hashes; the first of each run of equal neighbours is where the passage occurs first.
 
 A window is a repeat if it occurs before, in the order of (doc_id, word); its first occurrence is not reported. Documents with
 the same words as an earlier one are set apart first and reported whole, so large groups of copies bring no windows at all. A
-passage that a third of all documents share is spread by the range sort, and counted with map-side combination.
+passage that a third of all documents share is spread by both range sorts; no step gathers it in one task.
 
 Defined cases: a null text is empty; texts under LENGTH words have no repeats. Rows with a null doc_id take no part; a doc_id that is no
 number raises. Rows that
@@ -154,6 +154,60 @@ def _windows(docs: DataFrame, places: DataFrame) -> DataFrame:
     return texts.join(places, "doc_id").mapInArrow(run, "h1 long, h2 long, doc_id long, start int")
 
 
+def _earlier(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted partition of windows those that aren't the first of their hash, with the first one in this partition.
+
+    The hash of the partition's first row may go on from the partition before, so that row comes too, and rows with that hash carry
+    it. Rows with `edge` are the first ones of the partition's first and of its last hash (the latter without doc_id).
+    """
+    names = ["h1", "h2", "doc_id", "start"]
+    lead, held = None, None  # the partition's first hash; its last row so far with the first one of its hash
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in names]
+        if held is not None:
+            columns = [np.concatenate([x, y]) for x, y in zip(held[:4], columns, strict=True)]
+        h1, h2, ids, starts = columns
+        same = np.zeros(len(h1), bool)
+        same[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(h1))))
+        first_ids, first_starts = ids[first], starts[first]
+        keep, edge = same.copy(), np.zeros(len(h1), bool)
+        keep[1:] &= (ids[1:] != ids[:-1]) | (starts[1:] != starts[:-1])  # rows that repeat a doc_id
+        if held is None:
+            lead = h1[0], h2[0]
+            keep[0] = edge[0] = True
+        else:
+            first_ids[first == 0], first_starts[first == 0] = held[4][0], held[5][0]
+        other = ~((h1 == lead[0]) & (h2 == lead[1]))[keep]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(h1[keep], mask=other), pa.array(h2[keep], mask=other), *[pa.array(x[keep]) for x in (ids, starts, first_ids, first_starts, edge)]],
+            [*names, "first_doc_id", "first_start", "edge"],
+        )
+        held = [x[-1:] for x in (*columns, first_ids, first_starts)]
+    if held is not None:
+        h1, h2, _, _, first_id, first_start = (pa.array(x) for x in held)
+        yield pa.RecordBatch.from_arrays([h1, h2, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), first_id, first_start, pa.array([True])], [*names, "first_doc_id", "first_start", "edge"])
+
+
+def _again(windows: DataFrame) -> DataFrame:
+    """doc_id, start, first_doc_id, first_start of the windows that occur before; windows is a written table.
+
+    Windows are range-sorted by hash and place, so one that is in a third of all documents is spread over many tasks, and its first
+    occurrence is the first row of its run. Runs that go over partitions are joined by two rows a partition.
+    """
+    order = ["h1", "h2", "doc_id", "start"]
+    ordered = windows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = cut(ordered.mapInArrow(_earlier, "h1 long, h2 long, doc_id long, start int, first_doc_id long, first_start int, edge boolean"), "suffix-earlier")
+    own = F.struct("first_doc_id", "first_start")
+    edges = rows.filter("edge").groupBy("h1", "h2").agg(F.min(own).alias("before"))
+    joined = rows.filter("doc_id is not null").join(F.broadcast(edges), ["h1", "h2"], "left").withColumn("first", F.coalesce("before", own))
+    again = joined.select("doc_id", "start", F.col("first.first_doc_id").alias("first_doc_id"), F.col("first.first_start").alias("first_start"))
+    return again.filter("doc_id <> first_doc_id or start <> first_start")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """A row for each repeated span: doc_id, start, n_words, and first_doc_id, first_start of where it occurs first."""
     table = cut(suffixes(docs), "suffixes")
@@ -162,10 +216,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     copies = cut(wholes.join(groups, ["key", "other"]).filter("doc_id <> rep").select("doc_id", "rep", "n_words").distinct(), "suffix-copies")
     places = table.filter("word >= 0").select("key", "doc_id", "word").join(copies.select("doc_id"), "doc_id", "left_anti")
     found = cut(_repeated_places(cut(places, "suffix-places")), "suffix-repeated")
-    windows = _windows(docs, found)
-    firsts = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = windows.join(firsts, ["h1", "h2"]).select("doc_id", "start", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
-    again = again.filter("doc_id <> first_doc_id or start <> first_start").distinct()
+    again = _again(cut(_windows(docs, found), "suffix-windows"))
     # Consecutive windows of one alignment form a run; a document's windows are bounded by its own length.
     order = Window.partitionBy("doc_id").orderBy("start")
     joined = (F.lag("start").over(order) == F.col("start") - 1) & (F.lag("first_doc_id").over(order) == F.col("first_doc_id")) & (F.lag("first_start").over(order) == F.col("first_start") - 1)

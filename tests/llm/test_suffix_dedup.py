@@ -70,6 +70,33 @@ def test_cut_leaves_each_passage_once(spark):
     assert left[None]["text"] == "n"
 
 
+def test_windows_over_many_sorted_partitions(spark):
+    """One window in most rows goes over many partitions; its first occurrence is found in each, and rows that repeat are one."""
+    rng = random.Random(4)
+    rows = [(7, 7, d, s) for d in range(5, 305) for s in (3, 9)] + [(rng.randint(0, 40), rng.randint(0, 2), rng.randint(0, 300), rng.randint(0, 50)) for _ in range(400)]
+    rows += rows[::3]
+    first = {}
+    for a, b, d, s in rows:
+        first[a, b] = min(first.get((a, b), (d, s)), (d, s))
+    want = sorted({(d, s, *first[a, b]) for a, b, d, s in rows if (d, s) != first[a, b]})
+    df = spark.createDataFrame(rows, "h1 long, h2 long, doc_id long, start int").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for partitions, batch in ((40, 3), (1, 7), (5, 1000)):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        assert sorted(map(tuple, S._again(df).distinct().collect())) == want
+    spark.conf.set("spark.sql.shuffle.partitions", before[0])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before[1])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_rows_that_repeat_an_id(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, "a " + text), (1, "a " + text), (2, text + " b"), (None, text)], "doc_id long, text string").repartition(3)
+    assert [tuple(r) for r in S.repeats(docs).collect()] == [(2, 0, 60, 1, 1)]
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.query(empty).collect() == [] and S.cut_repeats(empty).collect() == []
