@@ -9,8 +9,8 @@
    Windows are range-sorted by 128-bit hashes; the first of each run of equal neighbours is where the passage occurs first.
 
 A window is a repeat if it occurs before, in the order of (doc_id, word); its first occurrence is not reported. Documents with
-the same words as an earlier one are set apart first and reported whole, so large groups of copies bring no windows at all. A
-passage that a third of all documents share is spread by both range sorts; no step gathers it in one task.
+the same words as an earlier one are set apart first, by a range sort too, and reported whole, so large groups of copies bring no
+windows at all. A passage that a third of all documents share is spread by both range sorts; no step gathers it in one task.
 
 Defined cases: a null text is empty; texts under LENGTH words have no repeats. Rows with a null doc_id take no part; a doc_id that is no
 number raises. Rows that
@@ -211,9 +211,9 @@ def _again(windows: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """A row for each repeated span: doc_id, start, n_words, and first_doc_id, first_start of where it occurs first."""
     table = cut(suffixes(docs), "suffixes")
-    wholes = table.filter("word = -1 and n_words > 0")
-    groups = wholes.groupBy("key", "other").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = cut(wholes.join(groups, ["key", "other"]).filter("doc_id <> rep").select("doc_id", "rep", "n_words").distinct(), "suffix-copies")
+    # A document's hashes are sorted in the same way; its number of words, which they settle, stands for its place.
+    wholes = table.filter("word = -1 and n_words > 0").selectExpr("key h1", "other h2", "doc_id", "n_words start")
+    copies = cut(_again(wholes).selectExpr("doc_id", "first_doc_id rep", "start n_words"), "suffix-copies")
     places = table.filter("word >= 0").select("key", "doc_id", "word").join(copies.select("doc_id"), "doc_id", "left_anti")
     found = cut(_repeated_places(cut(places, "suffix-places")), "suffix-repeated")
     again = _again(cut(_windows(docs, found), "suffix-windows"))
