@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, conversation_repair, curve_packing, exact_dedup, language_crf, minhash_bayes, multi_index, piece_bpe, ring_sharding, suffix_dedup, toxicity, weak_quality
+from . import byte_bpe, conversation_repair, curve_packing, exact_dedup, language_crf, minhash_bayes, multi_index, piece_bpe, ring_sharding, source_divergence, suffix_dedup, toxicity, weak_quality
 from .common import documents
 
 QUERIES = {
@@ -17,7 +17,8 @@ QUERIES = {
     "op8_multi_index": lambda spark, sf_dir: multi_index.query(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
     "op6_language_crf": lambda spark, sf_dir: language_crf.query(documents(spark, sf_dir)),
     "op13_conversation_repair": lambda spark, sf_dir: conversation_repair.query(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
+    "op11_source_divergence": lambda spark, sf_dir: source_divergence.query(documents(spark, sf_dir)),
     "op12_piece_bpe": lambda spark, sf_dir: piece_bpe.query(documents(spark, sf_dir)),
 }
 
-ORACLE = {"op2_exact_dedup": exact_dedup.SQL, "op13_conversation_repair": conversation_repair.SQL}
+ORACLE = {"op2_exact_dedup": exact_dedup.SQL, "op11_source_divergence": source_divergence.SQL, "op13_conversation_repair": conversation_repair.SQL}
