@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What counts as white space between words.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -137,8 +138,37 @@ def may_contain(df: DataFrame, bloom: DataFrame, key: str, found: bool = True) -
     return joined.filter(is_set if found else ~is_set).select(*map(quoted, df.columns))
 
 
-def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't in dropped (doc_id); a null doc_id never is. Only rows that may be dropped are shuffled."""
-    bloom = cut(key_filter(dropped, "doc_id"), "dropped-filter")
-    safe = may_contain(docs, bloom, "doc_id", found=False)
-    return safe.unionByName(may_contain(docs, bloom, "doc_id").join(dropped, "doc_id", "left_anti").select(*map(quoted, docs.columns)))
+def without_keys(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """The rows of docs whose key isn't in dropped (key); a null key never is. Only rows that may be dropped are shuffled."""
+    bloom = cut(key_filter(dropped, key), "dropped-filter")
+    safe = may_contain(docs, bloom, key, found=False)
+    return safe.unionByName(may_contain(docs, bloom, key).join(dropped, key, "left_anti").select(*map(quoted, docs.columns)))
+
+
+def keyed_rows(docs: DataFrame, key: str) -> DataFrame:
+    """docs with a column `key` that tells rows of different texts apart: doc_id where it has one text only, as nearly all have.
+
+    Of a doc_id with several texts the first (by hash) keeps it, the others get values that no row has: numbers after the greatest
+    doc_id, or a doc_id that is text with the hash appended. Rows that repeat both share a key; a null doc_id has none. Only rows
+    whose doc_id may have several texts are shuffled, by doc_id and hash.
+    """
+    number = not isinstance(docs.schema["doc_id"].dataType, StringType)
+    own = F.col("doc_id").cast("long") if number else F.col("doc_id")
+    mark, id_, to = fresh([*docs.columns, key], "mark", "id", "to")
+    marked = docs.withColumn(key, own).withColumn(mark, F.xxhash64(text_or_empty()))
+    several = marked.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(mark).alias("first"), F.max(mark).alias("last")).filter("first <> last").select(key, "first")
+    several = cut(several, "several-texts")
+    if several.isEmpty():
+        return marked.drop(mark)
+    bloom = cut(key_filter(several, key), "several-filter")
+    may = may_contain(marked, bloom, key)
+    others = may.select(key, mark).join(several, key).filter(F.col(mark) != F.col("first")).select(key, mark).distinct()
+    if number:
+        most = docs.agg(F.max(own)).first()[0]
+        others = others.repartitionByRange(key, mark).sortWithinPartitions(key, mark).withColumn(to, F.monotonically_increasing_id() + F.lit(most + 1))
+    else:
+        others = others.withColumn(to, F.concat(F.col(key), F.lit("\x00"), F.hex(mark)))
+    others = cut(others, "further-texts").select(F.col(key).alias(id_), F.col(mark).alias(f"{mark}_"), to)
+    moved = may.join(others, (F.col(key) == F.col(id_)) & (F.col(mark) == F.col(f"{mark}_")), "left").withColumn(key, F.coalesce(to, key))
+    names = [*map(quoted, docs.columns), F.col(key)]
+    return may_contain(marked, bloom, key, found=False).select(*names).unionByName(moved.select(*names))

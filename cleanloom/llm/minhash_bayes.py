@@ -16,7 +16,8 @@ edits in all combinations, all just below the threshold, would still have all it
 With 25 bands of 5 rows a pair at the threshold of 0.85 shares a band but for a chance of 4e-7 (at 0.8, 5e-5); MISS is 1e-6 for each batch.
 
 Defined cases: a null text or one without words has the empty set and is linked with nothing. A null doc_id takes no part: its
-component_id is null and the row is kept. Rows that repeat a doc_id are one node. Empty tables give empty results. Other
+component_id is null and the row is kept. Rows that repeat a doc_id are one node of `near_groups`; `drop_near_copies` judges each
+text of such a doc_id for itself. Empty tables give empty results. Other
 columns are ignored by `near_groups` and kept by `drop_near_copies`.
 """
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, key_filter, may_contain, without_ids
+from .common import chunks, cut, fresh, key_filter, keyed_rows, may_contain, quoted, without_keys
 from .components import components
 from .words import mix, shingle_sets
 
@@ -268,9 +269,14 @@ def near_groups(docs: DataFrame, threshold: float = 0.85, words: int = WORDS, sm
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs that are the first of their group, and those with a null doc_id, with all their columns."""
-    dropped = near_groups(docs, threshold).filter(~F.col("kept")).select("doc_id")
-    return without_ids(docs, cut(dropped.distinct(), "near-dropped"))
+    """The rows of docs that are the first of their group, and those with a null doc_id, with all their columns.
+
+    Rows are judged by their text: those that repeat a doc_id with another text are documents of their own.
+    """
+    (key,) = fresh(docs.columns, "row_key")
+    rows = keyed_rows(docs, key)
+    dropped = near_groups(rows.select(F.col(key).alias("doc_id"), "text"), threshold).filter(~F.col("kept")).select(F.col("doc_id").alias(key))
+    return without_keys(rows, cut(dropped.distinct(), "near-dropped"), key).select(*map(quoted, docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ windows at all. A passage that a third of all documents share is spread by both
 
 Defined cases: a null text is empty; texts under LENGTH words have no repeats. Rows with a null doc_id take no part; a doc_id that is no
 number raises. Rows that
-repeat a doc_id are one document. Periodic texts repeat themselves and are reported after their first LENGTH words. Empty
+repeat a doc_id are one document of `repeats`; `cut_repeats` takes each text of such a doc_id for itself. Periodic texts repeat themselves and are reported after their first LENGTH words. Empty
 tables give empty results. Other columns are ignored by `repeats` and kept by `cut_repeats`, which removes the spans from
 text, adjusts n_chars if there is such a column, and drops documents of which no word remains.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import chunks, cut, fresh, key_filter, may_contain, quoted
+from .common import chunks, cut, fresh, key_filter, keyed_rows, may_contain, quoted
 from .words import STEP, Words, mix, powers
 
 LENGTH, SPARSE, KGRAM = 50, 32, 8
@@ -243,11 +243,15 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """docs without their repeated spans; documents of which no word remains go."""
-    spans = cut(repeats(docs).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words")).alias("spans")), "suffix-spans")
-    bloom = cut(key_filter(spans, "doc_id"), "suffix-filter")
+    """docs without their repeated spans; documents of which no word remains go.
+
+    Spans belong to a row's text: those that repeat a doc_id with another text are documents of their own, after all others.
+    """
     names = docs.columns
     key, own_spans, flag = fresh(names, "id", "spans", "gone")
+    keyed = keyed_rows(docs, key)
+    spans = cut(repeats(keyed.select(F.col(key).alias("doc_id"), "text")).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words")).alias("spans")), "suffix-spans")
+    bloom = cut(key_filter(spans, "doc_id"), "suffix-filter")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,8 +266,6 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
             columns = [pa.array(out, pa.string()) if k == "text" else batch.column(k) for k in names]
             yield pa.RecordBatch.from_arrays([*columns, gone], [*names, flag])
 
-    long_id = F.col("doc_id").cast("long")
-    keyed = docs.withColumn(key, long_id)
     kept = [quoted(c) for c in names]
     fine = may_contain(keyed, bloom, key, found=False).select(*kept)
     touched = may_contain(keyed, bloom, key)

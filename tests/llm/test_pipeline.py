@@ -2,7 +2,7 @@ import random
 
 import corpus_pipeline as P
 from cleanloom.llm import minhash_bayes, weak_quality
-from cleanloom.llm.common import cut
+from cleanloom.llm.common import cut, keyed_rows
 
 from .test_minhash_bayes import brute as near_brute
 from .test_suffix_dedup import brute as passage_brute
@@ -49,3 +49,49 @@ def test_stages_against_brute_force(spark, tmp_path):
     pieces = P.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in pieces} == set(want)
     assert minhash_bayes.BANDS * minhash_bayes.ROWS == 125
+
+
+def test_rows_that_repeat_a_doc_id_with_other_texts(spark):
+    """Rows by row through all stages: none is lost or cut for what another text of its doc_id holds."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghinoprst") for _ in range(rng.randint(2, 8)))
+    text = lambda n=90: [word() + "." * (rng.random() < 0.1) for _ in range(n)]
+    passage, base = text(70), text()
+    lone, long_one = [text(), text(), text()], text(300)
+    rows = [
+        (1, base), (2, [*base, "more"]), (2, lone[0]), (3, lone[1]), (3, lone[1]), (3, lone[2]),  # near copies; others are no copies
+        (4, passage + text(40)), (5, passage + text(40)), (5, long_one), (6, text(40) + passage), (6, text(80)), (6, text(80)),
+        (None, text()), (None, text()),
+    ]
+    rows = [(i, " ".join(w), "a", i) for i, w in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string, id long").repartition(3).cache()
+    near = minhash_bayes.drop_near_copies(docs)
+    assert near.columns == docs.columns
+    assert sorted(r.text for r in near.collect()) == sorted(t for i, t, *_ in rows if t != " ".join([*base, "more"]))
+    exact = P.exact(spark, docs, "")
+    assert sorted(r.text for r in exact.collect()) == sorted({t for _, t, *_ in rows})
+    left = {}
+    for r in P.passages(spark, cut(exact, "test"), "").collect():
+        left.setdefault(r.doc_id, []).append(words(r.text))
+    # Brute force, with further texts of a doc_id as documents after all others.
+    seen, numbered = set(), []
+    order = {t: k for k, t in enumerate(sorted({t for i, t, *_ in rows if i is not None}, key=lambda t: min(i for i, u, *_ in rows if u == t)))}
+    assert [] not in [w for ws in left.values() for w in ws] and len(order) == 11
+    for ws in left.values():
+        for w in ws:
+            numbered.append(w)
+            seen |= {tuple(w[k : k + 50]) for k in range(len(w) - 49)}
+    windows = [tuple(w[k : k + 50]) for w in numbered for k in range(len(w) - 49)]
+    assert len(windows) == len(set(windows))  # no passage is left twice
+    every = {tuple(w[k : k + 50]) for _, t, *_ in rows for w in [words(t)] for k in range(len(w) - 49)}
+    assert every - seen <= {x for x in every if set(x) & set(passage) or set(x) & set(base)}  # and only repeated ones went
+    assert words(" ".join(long_one)) in left[5] and all(words(" ".join(w)) in left[i] for i, w in ((2, lone[0]), (3, lone[1]), (3, lone[2])))
+
+
+def test_row_keys(spark):
+    rows = [(1, "a", 0), (1, "a", 1), (1, "b", 2), (2, None, 3), (2, "", 4), (None, "x", 5), (3, "y", 6)] + [(9, f"t{k}", 10 + k) for k in range(20)]
+    for kind in ("long", "string"):
+        docs = spark.createDataFrame([(i if i is None or kind == "long" else str(i), t, n) for i, t, n in rows], f"doc_id {kind}, text string, n int")
+        got = {r.n: r.k for r in keyed_rows(docs, "k").collect()}
+        assert got[0] == got[1] != got[2] and got[3] == got[4] and got[5] is None and str(got[6]) == "3"
+        assert len({got[10 + k] for k in range(20)}) == 20 and len({v for v in got.values() if v is not None}) == 24
