@@ -33,7 +33,7 @@ from .common import cut, text_or_empty
 
 LEAST, TOP = 3, 200
 #: Characters of a part of the vocabulary, and entries that a task adds up before it hands them on.
-PART, HELD = 4_000_000, 300_000
+PART, HELD = 12_000_000, 600_000
 #: Pairs of postings compared at once.
 PAIRS = 2_000_000
 #: What each byte of UTF-8 becomes: A-Z lower case, other ASCII but a-z a space.
@@ -48,8 +48,8 @@ def spaced(text: str | None) -> bytes:
 def _rows(held: dict[tuple[str, ...], Counter], names: list[str]) -> Iterator[pa.RecordBatch]:
     """Counters, by key columns, as rows; they are emptied."""
     for key, counter in held.items():
-        terms = pa.array([t.decode() if isinstance(t, bytes) else t for t in counter], pa.string())
-        own = [pa.array([k] * len(counter), pa.string()) for k in key]
+        terms = pa.array(list(counter)).cast(pa.string())  # terms are text or UTF-8
+        own = [pa.repeat(pa.scalar(k, pa.string()), len(counter)) for k in key]
         yield pa.RecordBatch.from_arrays([*own, terms, pa.array(list(counter.values()), pa.int64())], names)
     held.clear()
 
