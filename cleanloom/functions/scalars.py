@@ -89,8 +89,9 @@ def digits_only(c: Column | str) -> Column:
     return _unless_missing(c, lambda own: F.regexp_replace(own, r"(?U)\D", ""))
 
 
-def ascii_fold(c: Column | str) -> Column:
+def fold_udf():
     """Compatibility decomposition without combining marks; an Arrow UDF, as Spark has no normalisation."""
+
     def fold(values: pd.Series) -> pd.Series:
         import unicodedata
 
@@ -101,7 +102,11 @@ def ascii_fold(c: Column | str) -> Column:
 
         return values.map(one, na_action="ignore")
 
-    return F.pandas_udf(fold, "string")(text(c))
+    return F.pandas_udf(fold, "string")
+
+
+def ascii_fold(c: Column | str) -> Column:
+    return fold_udf()(text(c))
 
 
 def expand_scientific_notation(c: Column | str) -> Column:
