@@ -1,6 +1,7 @@
 """Cleaning: standardised values with a count of what changed, missing values, duplicates.
 
-All steps of all columns are one projection, and all change counts one aggregate over it. Filling takes one more aggregate.
+All steps of all columns are one projection, which also flags what each step changed; it is held, so the source is read once for values
+and counts. Filling takes a few more aggregates of what is held.
 Duplicates are found by a window whose first row is picked before the shuffle too, so a row that is repeated a million times
 moves once for each task.
 """
@@ -19,6 +20,7 @@ from pyspark.sql.types import NumericType
 from ..functions import scalars as S
 from ..sources.config import CleaningConfig
 from ..sources.rows import RID, numbered, with_order
+from .medians import medians
 from .roles import detect_column_roles
 
 LOG = "column string, action string, records long, detail string"
@@ -88,13 +90,27 @@ def cleaned(df: DataFrame, roles: dict[str, str], config: CleaningConfig) -> Dat
 
 def change_counts(df: DataFrame, roles: dict[str, str], config: CleaningConfig) -> list[tuple[str, str, int, str]]:
     """(column, action, records, detail) of the steps that changed a value; null on either side is no change."""
-    return _counted(df, roles, config)[1]
+    return counted(*flagged(df, roles, config))[1]
 
 
-def _counted(df: DataFrame, roles: dict[str, str], config: CleaningConfig) -> tuple[int, list[tuple[str, str, int, str]]]:
-    """The number of rows and what change_counts() says, in one pass."""
+#: Steps that a flag column holds, a bit each.
+FLAGS = 62
+
+
+def flagged(df: DataFrame, roles: dict[str, str], config: CleaningConfig) -> tuple[DataFrame, list[tuple[str, str, str, str, str]]]:
+    """What cleaned() gives, with _changed0, _changed1 and so on, whose bits say which steps changed the row; and the steps."""
     made, changes = stages(df, roles, config)
-    counts = made.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(f"`{b}`").cast("string") != F.col(f"`{a}`").cast("string")).alias(f"n{k}") for k, (_, _, _, b, a) in enumerate(changes)]).first()
+    last = {c[0]: c[4] for c in changes}
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    bits = [F.when(text(b) != text(a), F.lit(1 << k % FLAGS).cast("long")).otherwise(F.lit(0).cast("long")) for k, (_, _, _, b, a) in enumerate(changes)]
+    words = [reduce(Column.bitwiseOR, bits[k : k + FLAGS]).alias(f"_changed{k // FLAGS}") for k in range(0, len(bits), FLAGS)]
+    return made.select(*[F.col(f"`{last.get(c, c)}`").alias(c) for c in df.columns], *words), changes
+
+
+def counted(rows: DataFrame, changes: list[tuple[str, str, str, str, str]]) -> tuple[int, list[tuple[str, str, int, str]]]:
+    """The number of rows and what change_counts() says, from flags."""
+    flags = [F.count_if(F.col(f"_changed{k // FLAGS}").bitwiseAND(1 << k % FLAGS) != 0).alias(f"n{k}") for k in range(len(changes))]
+    counts = rows.agg(F.count(F.lit(1)).alias("rows"), *flags).first()
     return counts["rows"], [(c, action, counts[f"n{k}"], detail) for k, (c, action, detail, _, _) in enumerate(changes) if counts[f"n{k}"]]
 
 
@@ -114,8 +130,9 @@ def fills(df: DataFrame, roles: dict[str, str], tokens: tuple[str, ...] = S.MISS
         counts = df.select(F.explode(each).alias("e")).select("e.*").filter("v is not null").groupBy("k", "v").count()
         found |= {r["k"]: r["best"]["v"] for r in counts.groupBy("k").agg(F.min(F.struct((-F.col("count")).alias("n"), "v")).alias("best")).collect()}
     if numbers := [k for k in open_ if k not in text]:
-        row = df.agg(*[F.median(F.when(~missing[k], F.col(f"`{names[k]}`")).cast("string").try_cast("double")).alias(f"v{k}") for k in numbers]).first()
-        found |= {k: row[f"v{k}"] for k in numbers}
+        values = {names[k]: F.when(~missing[k], F.col(f"`{names[k]}`")).cast("string").try_cast("double") for k in numbers}
+        middle = medians(df, values)
+        found |= {k: middle.get(names[k]) for k in numbers}
     return {names[k]: (found[k], lacking[f"n{k}"]) for k in open_ if found.get(k) is not None}
 
 
@@ -139,9 +156,12 @@ def clean_data(source: DataFrame, config: CleaningConfig | None = None) -> Clean
     df = with_order(df)
     roles = detect_column_roles(df, config)
     columns, tokens = list(roles), tuple(config.missing_value_tokens)
-    rows_in, actions = _counted(df, roles, config)
-    out = cleaned(df, roles, config)
-    rows = rows_in
+    # Values and flags of what changed are computed once; the counts, and all that follows, read what is held. (Observed metrics
+    # would count the rows of a task that runs again twice.)
+    rows, changes = flagged(df, roles, config)
+    held = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows_in, actions = counted(held, changes)
+    out, rows = held.select(*[F.col(f"`{c}`") for c in df.columns]), rows_in
     if config.missing_value_strategy == "auto":
         values = fills(out, roles, tokens)
         actions += [(c, "filled_missing", n, f"filled with {v!r}") for c, (v, n) in values.items()]
@@ -151,8 +171,6 @@ def clean_data(source: DataFrame, config: CleaningConfig | None = None) -> Clean
         rows = out.count()
         if rows < rows_in:
             actions.append(("*", "dropped_empty_rows", rows_in - rows, ""))
-    # What follows counts rows and numbers them: all steps above run once for that.
-    out = held = out.persist(StorageLevel.MEMORY_AND_DISK)
     removed = 0
     if config.remove_duplicates and columns:
         out = first_of_each(out, [c for c in config.duplicate_subset if c in columns] or columns)

@@ -117,18 +117,3 @@ def validate_data(df: DataFrame, required_fields: list[str], unique_fields: list
     if RID not in df.columns:
         df = numbered(with_order(df)).drop(RID).withColumnRenamed("_row", RID)
     return ValidationReport(issues_of(df, required_fields, unique_fields, date_format, default_region, strict_dates), required_fields, unique_fields, date_format, df.count())
-
-
-def structure_summary(df: DataFrame) -> dict:
-    """Labels that are blank or repeated, and rows without any value."""
-    columns = [c for c in df.columns if c != RID]
-    errors = [{"type": "blank-label", "message": f"Label in position {k + 1} is blank"} for k, c in enumerate(columns) if not c.strip()]
-    errors += [{"type": "duplicate-label", "message": f"Label '{c}' occurs more than once"} for c in dict.fromkeys(columns) if columns.count(c) > 1]
-    if columns and len(set(columns)) == len(columns):
-        blank = None
-        for c in columns:
-            own = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) == ""
-            blank = own if blank is None else blank & own
-        if n := df.filter(blank).count():
-            errors.append({"type": "blank-row", "message": f"{n} rows are blank"})
-    return {"valid": not errors, "errors": errors}

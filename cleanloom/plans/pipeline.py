@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 
 from ..operators.clean import CleaningResult, clean_data
 from ..operators.mapping import MappingResult, map_data
-from ..operators.validate import ValidationReport, structure_summary, validate_data
+from ..operators.structure import structure_summary
+from ..operators.validate import ValidationReport, validate_data
 from ..sources.config import CleaningConfig, MappingConfig
 from ..sources.rows import RID
 from .reports import render_qa_report

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import audit, clean, mapping, validate
+from ..operators import audit, clean, mapping, structure, validate
 from ..operators.roles import detect_column_roles
 from ..sources.config import CleaningConfig, MappingConfig
 from ..sources.rows import RID, numbered
@@ -92,7 +92,7 @@ _add(
 def _structure(spark: SparkSession, d: str) -> DataFrame:
     """Of all contacts, with a blank label and rows in which city and e-mail are blank."""
     rows = contacts(spark, d).select(F.when(F.col("n") % 4 != 0, F.col("City")).alias("City"), F.col("Email Address").alias(" "))
-    return spark.createDataFrame([(e["type"], e["message"]) for e in validate.structure_summary(rows)["errors"]], "type string, message string")
+    return spark.createDataFrame([(e["type"], e["message"]) for e in structure.structure_summary(rows)["errors"]], "type string, message string")
 
 
 _add(

@@ -6,7 +6,8 @@ from cleanloom.operators.audit import audit_import
 from cleanloom.operators.clean import clean_data
 from cleanloom.operators.mapping import map_data
 from cleanloom.operators.roles import detect_column_roles
-from cleanloom.operators.validate import structure_summary, validate_data
+from cleanloom.operators.structure import structure_summary
+from cleanloom.operators.validate import validate_data
 from cleanloom.plans import cli
 from cleanloom.plans.pipeline import run_pipeline
 from cleanloom.sources.config import CleaningConfig, TargetField, available_crms, load_mapping_config
