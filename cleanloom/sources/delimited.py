@@ -1,11 +1,10 @@
-"""Delimited files read as strings, blanks as empty text; and written as one file."""
+"""Delimited files read as strings, blanks as empty text."""
 
 from __future__ import annotations
 
 import csv
 import io
 import uuid
-import zipfile
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encodings import UTF8, UTF16, UTF16BE, UTF16LE, decoded, judged, known, of_first_line, profile, raw_lines
+from .files import put
 from .records import after, held, records
 from .rows import RID
 
@@ -112,35 +112,4 @@ def parsed(rows: DataFrame, names: list[str], strict: bool = True) -> DataFrame:
 
 def read_bytes(spark: SparkSession, data: bytes, folder: str, **options) -> DataFrame:
     """read_delimited of an upload's bytes, which are first written as a file to a folder that all executors share."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/upload-{uuid.uuid4().hex}.csv")
-    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
-    try:
-        out.write(bytearray(data))
-    finally:
-        out.close()
-    return read_delimited(spark, at.toString(), **options)
-
-
-def write_single(df: DataFrame, path: str | Path, order: str | None = None) -> None:
-    """One CSV file with a header, in the order of a column that isn't written; blanks and nulls are bare."""
-    rows, spark = df.orderBy(order).drop(order) if order else df, df.sparkSession
-    folder = f"{path}.parts-{uuid.uuid4().hex}"  # beside the target, on its file system, which all executors share
-    rows.coalesce(1).write.csv(folder, header=True, escape='"', emptyValue="")
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    target = at(str(path))
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    made = files.globStatus(at(f"{folder}/part-*"))
-    if len(made) != 1:
-        raise RuntimeError(f"{folder} holds {len(made)} files where one was written; the driver and the executors don't share it")
-    files.delete(target, False)
-    if not files.rename(made[0].getPath(), target):
-        raise RuntimeError(f"{folder} can't be renamed to {path}")
-    files.delete(at(folder), True)
-
-
-def package(files: list[Path], target: Path) -> Path:
-    """A ZIP archive of files."""
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in files:
-            z.write(f, f.name)
-    return target
+    return read_delimited(spark, put(spark, f"{folder}/upload-{uuid.uuid4().hex}.csv", data), **options)
