@@ -2,8 +2,8 @@
 
 All are built-in expressions but for `ascii_fold`, for which Spark has none. Those that use `let`, a lambda over an array of one value,
 are evaluated without whole-stage codegen. Inputs may be of any type; text
-functions work on their string form. Gaps, stated in the README: phone rules follow public numbering plans rather than a full
-metadata library (G1), and dates that lack a part are left as they are (G4).
+functions work on their string form. A gap, stated in the README: phone rules follow public numbering plans rather than a full
+metadata library (G1).
 """
 
 from __future__ import annotations
@@ -32,6 +32,29 @@ REGIONS = {
     "CH": ("41", "0", 9, 9), "AT": ("43", "0", 6, 13), "PT": ("351", "", 9, 9), "SE": ("46", "0", 7, 9), "NO": ("47", "", 8, 8),
     "DK": ("45", "", 8, 8), "PL": ("48", "", 9, 9), "AU": ("61", "0", 9, 9), "NZ": ("64", "0", 8, 10), "IN": ("91", "0", 10, 10),
     "JP": ("81", "0", 9, 10), "CN": ("86", "0", 10, 11), "BR": ("55", "0", 10, 11), "MX": ("52", "", 10, 10), "ZA": ("27", "0", 9, 9),
+    "AE": ("971", "0", 8, 9), "AR": ("54", "0", 10, 11), "BD": ("880", "0", 8, 10), "BG": ("359", "0", 7, 9), "BO": ("591", "0", 8, 8), "CL": ("56", "", 9, 9),
+    "CO": ("57", "", 8, 10), "CR": ("506", "", 8, 8), "CU": ("53", "0", 6, 8), "CY": ("357", "", 8, 8), "CZ": ("420", "", 9, 9), "DO": ("1", "1", 10, 10),
+    "DZ": ("213", "0", 8, 9), "EC": ("593", "0", 8, 9), "EE": ("372", "", 7, 8), "EG": ("20", "0", 8, 10), "ET": ("251", "0", 9, 9), "FI": ("358", "0", 5, 12),
+    "GH": ("233", "0", 9, 9), "GR": ("30", "", 10, 10), "GT": ("502", "", 8, 8), "HK": ("852", "", 8, 8), "HR": ("385", "0", 8, 9), "HU": ("36", "06", 8, 9),
+    "ID": ("62", "0", 8, 12), "IL": ("972", "0", 8, 9), "IQ": ("964", "0", 8, 10), "IR": ("98", "0", 10, 10), "IS": ("354", "", 7, 9), "JM": ("1", "1", 10, 10),
+    "JO": ("962", "0", 8, 9), "KE": ("254", "0", 9, 9), "KR": ("82", "0", 8, 10), "KW": ("965", "", 8, 8), "KZ": ("7", "8", 10, 10), "LB": ("961", "0", 7, 8),
+    "LK": ("94", "0", 9, 9), "LT": ("370", "0", 8, 8), "LU": ("352", "", 4, 11), "LV": ("371", "", 8, 8), "MA": ("212", "0", 9, 9), "MT": ("356", "", 8, 8),
+    "MY": ("60", "0", 8, 10), "NG": ("234", "0", 8, 10), "NP": ("977", "0", 8, 10), "PA": ("507", "", 7, 8), "PE": ("51", "0", 8, 9), "PH": ("63", "0", 8, 10),
+    "PK": ("92", "0", 9, 10), "PY": ("595", "0", 8, 9), "QA": ("974", "", 7, 8), "RO": ("40", "0", 9, 9), "RS": ("381", "0", 8, 9), "RU": ("7", "8", 10, 10),
+    "SA": ("966", "0", 9, 9), "SG": ("65", "", 8, 8), "SI": ("386", "0", 8, 8), "SK": ("421", "0", 9, 9), "TH": ("66", "0", 8, 9), "TN": ("216", "", 8, 8),
+    "TR": ("90", "0", 10, 10), "TW": ("886", "0", 8, 9), "TZ": ("255", "0", 9, 9), "UA": ("380", "0", 9, 9), "UG": ("256", "0", 9, 9), "UY": ("598", "0", 8, 8),
+    "VE": ("58", "0", 10, 10), "VN": ("84", "0", 9, 10),
+}
+# The tree of calling codes by the world's numbering zones. Those of one and of two digits; and those of three that are assigned.
+_SHORT_CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+_LONG_CODES = "21[12368]|2[2-46]\\d|25[0-8]|29[0179]|3[57]\\d|38[0-35-79]|42[013]|50\\d|59\\d|67[02-9]|68[0-35-9]|69[0-2]|80[08]|85[02356]|87[08]|88[0136]|96[0-8]|97[0-79]|99[2-68]"
+# National numbers that are in use, by calling code: what they begin with, and their lengths, by public plans.
+IN_USE = {
+    "1": r"(?!555)[2-9](?!11)[0-8]\d[2-9]\d{6}", "7": r"[34689]\d{9}", "27": r"[1-8]\d{8}", "30": r"[26-9]\d{9}", "31": r"[1-9]\d{8}", "32": r"[1-9]\d{7}|4\d{8}", "33": r"[1-9]\d{8}",
+    "34": r"[5-9]\d{8}", "36": r"[1-9]\d{7,8}", "39": r"0\d{5,10}|[13]\d{8,9}|[58]\d{5,9}", "40": r"[237-9]\d{8}", "41": r"[2-9]\d{8}", "43": r"[1-9]\d{5,12}", "44": r"[12]\d{8,9}|[389]\d{9}|5[56]\d{8}|7[1-57-9]\d{8}",
+    "45": r"[2-9]\d{7}", "46": r"[1-9]\d{6,8}", "47": r"[2-9]\d{7}", "48": r"[1-9]\d{8}", "49": r"[1-9]\d{5,10}", "52": r"[2-9]\d{9}", "55": r"[1-9]{2}(?:[2-5]\d{7}|9\d{8})",
+    "61": r"[23478]\d{8}|1[38]\d{7,8}", "64": r"[34679]\d{7}|2\d{7,9}|[58]\d{7,9}", "65": r"[3689]\d{7}", "81": r"[1-9]\d{8,9}", "86": r"1[3-9]\d{9}|10\d{8}|[2-9]\d{9,10}", "90": r"[2-58]\d{9}", "91": r"[2-9]\d{9}",
+    "351": r"[236-9]\d{8}", "353": r"[1-9]\d{6,8}", "852": r"[2-9]\d{7}",
 }
 
 
@@ -152,10 +175,21 @@ def _parsed_phone(own: Column, region: str) -> Column:
 
 
 def _possible_pattern() -> str:
-    """Digits of an international number: of a known calling code with a length that it has, or of another code."""
-    lengths = {code: (least, most) for code, _, least, most in REGIONS.values()}
+    """Digits of an international number: of a calling code with lengths stated above, or of another assigned one, with 15 digits at most.
+
+    The longest prefix decides, as in a tree: no calling code is the beginning of another one.
+    """
+    lengths: dict[str, tuple[int, int]] = {}
+    for code, _, least, most in REGIONS.values():
+        low, high = lengths.get(code, (least, most))
+        lengths[code] = (min(low, least), max(high, most))
     known = "|".join(rf"{code}\d{{{least},{most}}}" for code, (least, most) in lengths.items())
-    return rf"^(?:{known}|(?!{'|'.join(lengths)})[2-9]\d{{7,14}})$"
+    return rf"^(?:{known}|(?!{'|'.join(lengths)})(?:(?:{_SHORT_CODES})\d{{6,13}}|(?:{_LONG_CODES})\d{{5,12}}))$"
+
+
+def _valid_pattern() -> str:
+    """E.164 numbers in use: as IN_USE has them, or any possible one of a calling code that it lacks."""
+    return rf"^\+(?:{'|'.join(f'{code}(?:{own})' for code, own in IN_USE.items())}|(?!{'|'.join(IN_USE)})\d+)$"
 
 
 def _possible(whole: Column) -> Column:
@@ -167,10 +201,8 @@ def phone_e164(c: Column | str, region: str = "US") -> Column:
 
 
 def is_valid_phone(c: Column | str, region: str = "US") -> Column:
-    """Stricter than possible: in the North American plan area and exchange codes must be assignable; 555 is no area."""
-    american = r"^\+1(?!555)[2-9](?!11)[0-8]\d[2-9]\d{6}$"
-    valid = let(_parsed_phone(strip(c), region), lambda n: F.when(n.startswith("+1"), n.rlike(american)).otherwise(n.isNotNull()))
-    return F.coalesce(valid, F.lit(False))
+    """Stricter than possible: the national number must be one in use, as far as IN_USE says which are."""
+    return F.coalesce(_parsed_phone(strip(c), region).rlike(_valid_pattern()), F.lit(False))
 
 
 # Dates
@@ -207,9 +239,50 @@ def _groups(own: Column, pattern: str, names: tuple[str, str, str]) -> Column:
     return F.struct(*[F.when(parts[n] != "", parts[n]).alias(n) for n in ("year", "month", "day")])
 
 
-def parsed_date(own: Column, day_first: bool = False, this_year: int | None = None) -> Column:
+#: What may stand anywhere in a date of free form: a time with its zone, weekdays, fillers and endings of ordinal numbers.
+_CLOCK = r"\bt?\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:[ap]\.?m\b\.?)?(?:\s*(?:z\b|utc\b|gmt\b|[+-]\d{2}:?\d{2}))?|\b\d{1,2}\s*[ap]\.?m\b\.?"
+_FILLERS = r"\b(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\b|\b(?:of|at|on|and)\b|(?<=\d)(?:st|nd|rd|th)\b"
+
+
+def free_form(own: Column, resolved: Callable[[Column, Column, Column], Column], day_first: bool, default: date | None) -> Column:
+    """The date of text in free form, by its tokens: one month's name at most, and numbers, of which those over 31 or of more than two
+    digits are years. With a name and two numbers the year is the large one, else the first if both stand before the name, else the second.
+
+    Parts that are lacking come from the default (its day cut to the month's last); without a default such text has no date.
+    """
+    names = "|".join(_MONTHS)
+
+    def tokens(words: Column) -> Column:
+        head = F.regexp_extract(words, rf"^(.*?)\b(?:{names})\b", 1)
+        name = F.regexp_extract(words, rf"\b({names})\b", 1)
+        numbers = F.regexp_extract_all(words, F.lit(r"(\d+)"), F.lit(1))
+        known = words.rlike(rf"^[\s,./-]*(?:(?:\d{{1,4}}|(?:{names})\.?)(?:[\s,./-]+|$))+$") & (F.regexp_count(words, F.lit(rf"\b(?:{names})\b")) <= 1)
+        return F.when(known, F.struct(F.nullif(name, F.lit("")).alias("name"), numbers.alias("numbers"), F.size(numbers).alias("n"), F.regexp_count(head, F.lit(r"\d+")).alias("before")))
+
+    def large(x: Column) -> Column:
+        return (F.length(x) > 2) | (x.try_cast("int") > 31)
+
+    def read(t: Column) -> Column:
+        a, b, name = F.get(t["numbers"], 0), F.get(t["numbers"], 1), t["name"]
+        first_is_year = large(a) | (~large(b) & (t["before"] == 2))
+        out = F.when(name.isNotNull() & (t["n"] == 2), F.when(first_is_year, resolved(a, name, b)).otherwise(resolved(b, name, a)))
+        if default is None:
+            return out
+        year, month, day = (F.lit(str(x)) for x in (default.year, default.month, default.day))
+        swap = F.lit(day_first) & (b.try_cast("int") <= 12)
+        out = out.when(name.isNotNull() & (t["n"] == 1), F.when(large(a), resolved(a, name, day)).otherwise(resolved(year, name, a)))
+        out = out.when(name.isNotNull() & (t["n"] == 0), resolved(year, name, day))
+        out = out.when(name.isNull() & (t["n"] == 2), F.when(large(a), resolved(a, b, day)).when(large(b), resolved(b, a, day)).when(swap, resolved(year, b, a)).otherwise(resolved(year, a, b)))
+        return out.when(name.isNull() & (t["n"] == 1) & (F.length(a) == 4), resolved(a, month, day))
+
+    words = F.trim(F.regexp_replace(F.regexp_replace(F.lower(own), _CLOCK, " "), _FILLERS, " "))
+    return let(words, lambda w: let(tokens(w), read))
+
+
+def parsed_date(own: Column, day_first: bool = False, this_year: int | None = None, default: date | None = None) -> Column:
     """The date that stripped text has, or null. Year-first numbers are year, month, day; others in the preferred order, or in the
-    other order where that is the only one possible. Two-digit years lie within 50 years of this_year."""
+    other order where that is the only one possible. Two-digit years lie within 50 years of this_year. What none of these shapes
+    fits is read in free form; default: what parts that it lacks are taken from."""
     now = this_year or date.today().year
     months = F.expr(f"map({', '.join(f"'{m[:3]}', '{k + 1}'" for k, m in enumerate(_MONTHS))})")
 
@@ -218,13 +291,24 @@ def parsed_date(own: Column, day_first: bool = False, this_year: int | None = No
         return F.when(F.length(year) == 2, let(near, lambda y: F.when(y >= now + 50, y - 100).when(y < now - 50, y + 100).otherwise(y)).cast("string")).otherwise(year)
 
     def day(p: Column) -> Column:
-        month = F.when(p["month"].rlike(r"^\d+$"), p["month"]).otherwise(F.element_at(months, F.lower(F.substring(p["month"], 1, 3))))
-        return _day(full(p["year"]), month, p["day"])
+        return _day(full(p["year"]), _number(p["month"]), p["day"])
 
     def numbers(p: Column) -> Column:
         swap = p["month"].try_cast("int") > 12
         return let(F.struct(p["year"].alias("year"), F.when(swap, p["day"]).otherwise(p["month"]).alias("month"), F.when(swap, p["month"]).otherwise(p["day"]).alias("day")), day)
 
+    def parts(year: Column, month: Column, dom: Column) -> Column:
+        """Of a date in free form; a day that came from the default is cut to the month's last."""
+        last = F.dayofmonth(F.last_day(_day(full(year), _number(month), F.lit("1"))))
+        own_day = F.least(dom.try_cast("int"), last).cast("string") if default is not None and _is_default(dom) else dom
+        return _day(full(year), _number(month), own_day)
+
+    def _is_default(dom: Column) -> bool:
+        return str(dom) == str(F.lit(str(default.day)))
+
+    def _number(month: Column) -> Column:
+        return F.when(month.rlike(r"^\d+$"), month).otherwise(F.element_at(months, F.lower(F.substring(month, 1, 3))))
+
     name = rf"({'|'.join(_MONTHS)})\.?"
     ways = [
         let(_groups(own, rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_TIME}$", ("year", "month", "day")), day),
@@ -233,12 +317,14 @@ def parsed_date(own: Column, day_first: bool = False, this_year: int | None = No
         let(_groups(own, rf"(?i)^{_WEEKDAY}(\d{{1,2}})(?:st|nd|rd|th)?[-\s/.]+(?:of\s+)?{name}[-\s/.,]+(\d{{4}}|\d{{2}}){_TIME}$", ("day", "month", "year")), day),
         let(_groups(own, rf"(?i)^{_WEEKDAY}{name}[-\s/.]+(\d{{1,2}})(?:st|nd|rd|th)?[-\s/.,]+(\d{{4}}|\d{{2}}){_TIME}$", ("month", "day", "year")), day),
         let(_groups(own, rf"(?i)^(\d{{4}})[-\s/.]+{name}[-\s/.]+(\d{{1,2}}){_TIME}$", ("year", "month", "day")), day),
+        free_form(own, parts, day_first, default),
     ]
     return F.coalesce(*ways)
 
 
-def to_iso_date(c: Column | str, fmt: str = "%Y-%m-%d", day_first: bool = False, this_year: int | None = None) -> Column:
-    return _unless_missing(c, lambda own: F.coalesce(F.date_format(parsed_date(own, day_first, this_year), java_format(fmt)), own))
+def to_iso_date(c: Column | str, fmt: str = "%Y-%m-%d", day_first: bool = False, this_year: int | None = None, default: date | None = None) -> Column:
+    """Dates in the format; other text stays. default: what parts that a date lacks are taken from; without it, such text stays too."""
+    return _unless_missing(c, lambda own: F.coalesce(F.date_format(parsed_date(own, day_first, this_year, default), java_format(fmt)), own))
 
 
 def matches_date_format(c: Column | str, fmt: str = "%Y-%m-%d") -> Column:

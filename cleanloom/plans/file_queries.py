@@ -3,6 +3,8 @@ Importing this module adds them to `queries.QUERIES` and `queries.ORACLE`."""
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +125,42 @@ _add(
 )
 
 
+#: Region, what a number looks like there (d: eight digits made of n), what E.164 makes of it, and whether it is in use.
+_PHONES = [
+    ("FR", "concat('01 ', d)", "concat('+331', d)", "true"), ("DE", "concat('(030) ', d)", "concat('+4930', d)", "true"), ("GB", "concat('020 ', substr(d, 1, 4), ' ', substr(d, 5))", "concat('+4420', d)", "true"),
+    ("ES", "concat('9', d)", "concat('+349', d)", "true"), ("IT", "concat('06-', d)", "concat('+3906', d)", "true"), ("BR", "concat('(11) 9', substr(d, 1, 4), '-', substr(d, 5))", "concat('+55119', d)", "true"),
+    ("IN", "concat('0', '98', d)", "concat('+9198', d)", "true"), ("AU", "concat('(02) ', d, ' ext. 7')", "concat('+612', d)", "true"), ("JP", "concat('03-', d)", "concat('+813', d)", "true"),
+    ("SG", "concat('+65 1', substr(d, 2))", "concat('+651', substr(d, 2))", "false"), ("RU", "concat('8 912 ', substr(d, 2))", "concat('+7912', substr(d, 2))", "true"), ("HU", "concat('06 1 ', substr(d, 2))", "concat('+361', substr(d, 2))", "true"),
+]
+_DIGITS = "lpad(cast(n * 7919 % 90000000 + 10000000 as varchar(8)), 8, '0')"
+
+
+def _phones(spark: SparkSession, d: str) -> DataFrame:
+    """A number of each region for all customers, in one row each."""
+    rows = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey as n").withColumn("d", F.expr(_DIGITS))
+    made = rows.select("n", *[F.expr(shape).alias(region) for region, shape, _, _ in _PHONES])
+    return made.select("n", *[f(region, region).alias(f"{region}_{name}") for region, *_ in _PHONES for name, f in (("e164", S.phone_e164), ("valid", S.is_valid_phone))])
+
+
+_add("phones_of_regions", _phones, "SELECT n, " + ", ".join(f'{want} AS "{r}_e164", {valid} AS "{r}_valid"' for r, _, want, valid in _PHONES) + f" FROM (SELECT c_custkey AS n, {_DIGITS} AS d FROM (SELECT c_custkey, c_custkey AS n FROM customer))")
+
+
+#: Dates of free form made of n, and what they are; those of the last two lack parts, which come from 15 June 2026.
+_DATES = [("concat('10:30 ', 1 + n % 28, ' ', M, ' ', 2000 + n % 30)", "make_date(2000 + n % 30, 1 + n % 12, 1 + n % 28)"), ("concat(2000 + n % 30, ' ', M, ' ', 1 + n % 28, ' at 3 pm')", "make_date(2000 + n % 30, 1 + n % 12, 1 + n % 28)"),
+          ("concat('Fri, ', M, ' ', 1 + n % 28, 'th ', 2000 + n % 30, ' 08:15 UTC')", "make_date(2000 + n % 30, 1 + n % 12, 1 + n % 28)"), ("concat(M, ' ', 2000 + n % 30)", "make_date(2000 + n % 30, 1 + n % 12, 15)"),
+          ("concat(1 + n % 28, '. ', M)", "make_date(2026, 1 + n % 12, 1 + n % 28)")]
+
+
+def _dates(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/customer.parquet").selectExpr("cast(c_custkey as int) as n")
+    made = F.element_at(F.array(*[F.expr(shape.replace("M", _MONTH)) for shape, _ in _DATES]), F.expr("1 + n % 5"))
+    return rows.select("n", S.to_iso_date(made, this_year=2026, default=date(2026, 6, 15)).alias("day"))
+
+
+_WANT = " ".join(f"WHEN {k} THEN {want}" for k, (_, want) in enumerate(_DATES))
+_add("dates_free_form", _dates, f"SELECT n, CAST(CASE n % 5 {_WANT} END AS VARCHAR) AS day FROM (SELECT CAST(c_custkey AS INTEGER) AS n FROM customer)")
+
+
 def _written(spark: SparkSession, d: str) -> DataFrame:
     """A single file in the order of the rows, read back by Spark's own reader."""
     path = shared_path(spark, "single") + ".csv"
