@@ -1,9 +1,12 @@
 """Exact deduplication with a log-structured merge index, in DataFrame operations only.
 
-Level 0: every task is a memtable; it sorts the digests of its rows and flushes them as a run (one Parquet file). Level 1:
-compaction merges the runs, keeping for each digest the smallest identifier and the count. A fixed-size filter over the
-documents whose digest occurs more than once then selects the rows that may be hits, and only the texts of those are read again, to be compared byte by byte within their digest (least and greatest text, combined map-side, so a
-digest that holds a third of all rows moves one pair of texts for each task). Digests whose texts differ are split by text.
+Every task is a memtable that sorts the digests of its rows. Memtables are flushed in batches as runs of level 0 of a `MergeIndex`, each
+sorted and with a filter of its digests; FANOUT runs of a level are compacted into one of the next, which keeps for each digest the
+smallest identifier and the count. `exact_groups` and `drop_exact_copies` read the compacted index; `MergeIndex.find` asks the
+filters of all runs and joins only those that may hold a digest. A fixed-size filter over the documents whose digest occurs more
+than once selects the rows that may be hits, and only the texts of those are read again, to be compared byte by byte within their
+digest (least and greatest text, combined map-side, so a digest that holds a third of all rows moves one pair of texts for each
+task). Digests whose texts differ are split by text.
 
 Defined cases: a null text is an empty text. Texts are equal when they are identical after every run of white space has become
 one space. In `exact_groups` rows that repeat a doc_id and a text share one decision. A null doc_id comes after every other; a group of only null
@@ -23,6 +26,10 @@ from pyspark.sql import functions as F
 from .common import SPACES, cut, fresh, key_filter, may_contain, quoted, text_or_empty
 
 
+#: Batches in which one table goes into an index, and runs of a level that are merged into one of the next.
+BATCHES, FANOUT = 4, 4
+
+
 def normalised(text: str = "text") -> Column:
     return F.regexp_replace(text_or_empty(text), SPACES, " ")
 
@@ -31,14 +38,6 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def build_index(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> tuple[DataFrame, DataFrame]:
-    """Level 0 (doc_id, digest; a row per document) and level 1 (digest, keep_id, group_size), both in the shared folder."""
-    runs = docs.select("doc_id", digest(normalised()).alias("digest")).sortWithinPartitions("digest")
-    level0 = cut(runs, "exact-runs")
-    merged = level0.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return level0, cut(merged.sortWithinPartitions("digest"), "exact-index")
-
-
 @dataclass
 class Run:
     """Digests with their smallest identifier and count, sorted; filter: which digests the run may hold."""
@@ -51,7 +50,7 @@ class MergeIndex:
     """An index over batches that come one after the other: each is a run of level 0, and FANOUT runs of a level are merged into one
     run of the next. A lookup asks each run's filter first and joins only the digests that the run may hold."""
 
-    def __init__(self, digest: Callable[[Column], Column] = sha256, fanout: int = 4) -> None:
+    def __init__(self, digest: Callable[[Column], Column] = sha256, fanout: int = FANOUT) -> None:
         self.digest, self.fanout = digest, fanout
         self.levels: list[list[Run]] = []
 
@@ -65,8 +64,21 @@ class MergeIndex:
             self._flush(_merged([r.rows for r in full]), level + 1)
 
     def add(self, docs: DataFrame) -> None:
-        each = docs.select(self.digest(normalised()).alias("digest"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-        self._flush(_merged([each]), 0)
+        self.add_digests(docs.select("doc_id", self.digest(normalised()).alias("digest")))
+
+    def add_digests(self, rows: DataFrame) -> None:
+        """A batch of rows (doc_id, digest)."""
+        self._flush(_merged([rows.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))]), 0)
+
+    def compact(self) -> DataFrame:
+        """Merge all runs into one of the highest level; its rows."""
+        runs = [run for level in self.levels for run in level]
+        if len(runs) > 1:
+            top = len(self.levels)
+            self.levels = [[] for _ in self.levels]
+            self._flush(_merged([r.rows for r in runs]), top)
+            return self.levels[top][0].rows
+        return runs[0].rows
 
     def find(self, docs: DataFrame) -> DataFrame:
         """doc_id, digest, keep_id and group_size of the rows of docs whose digest an earlier batch has; hits are by digest."""
@@ -82,6 +94,18 @@ def _merged(runs: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, runs).groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
 
+def build_index(docs: DataFrame, digest: Callable[[Column], Column] = sha256, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
+    """What memtables hold (doc_id, digest; a row per document), and the rows of the compacted index (digest, keep_id, group_size).
+
+    Every task is a memtable, a sorted file of its own; the index takes them in batches, so that a flush is a part of the table.
+    """
+    flushed = docs.select("doc_id", digest(normalised()).alias("digest")).withColumn("memtable", F.spark_partition_id()).sortWithinPartitions("digest")
+    level0, index = cut(flushed, "exact-runs"), MergeIndex(digest)
+    for k in range(batches):
+        index.add_digests(level0.filter(F.pmod("memtable", F.lit(batches)) == k))
+    return level0.drop("memtable"), index.compact()
+
+
 def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """doc_id, keep_id, group_size, kept and digest of every row of docs."""
     level0, level1 = build_index(docs, digest)

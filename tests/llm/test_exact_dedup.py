@@ -61,3 +61,18 @@ def test_edges(spark):
     odd = [(None, "a"), (1, "a"), (1, "a"), (None, "b")]
     rows = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in E.query(frame(spark, odd)).collect()), key=str)
     assert rows == [(1, 1, 3, True), (1, 1, 3, True), (None, 1, 3, False), (None, None, 1, True)]
+
+
+def test_query_reads_a_compacted_index(spark):
+    rows = [(k, f"text {k % 7}") for k in range(40)] + [(None, "text 3"), (50, None), (51, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    for batches in (1, 3, 4, 9):
+        level0, index = E.build_index(docs, batches=batches)
+        assert level0.columns == ["doc_id", "digest"] and level0.count() == 43
+        assert sorted((r.keep_id, r.group_size) for r in index.collect()) == sorted([(k, len(range(k, 40, 7)) + (k == 3)) for k in range(7)] + [(50, 2)])
+    merged = E.MergeIndex(fanout=2)
+    for k in range(5):
+        merged.add(docs.filter(f"pmod(doc_id, 5) = {k}"))
+    assert [len(level) for level in merged.levels] == [1, 0, 1]  # five runs, compacted by twos
+    assert merged.compact().count() == 8 and [len(level) for level in merged.levels] == [0, 0, 0, 1]
+    assert {r.doc_id: r.keep_id for r in merged.find(docs.filter("doc_id in (10, 50)")).collect()} == {10: 3, 50: 50}
