@@ -244,7 +244,7 @@ _CLOCK = r"\bt?\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:[ap]\.?m\b\.?)?(?:\s*(?:z
 _FILLERS = r"\b(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\b|\b(?:of|at|on|and)\b|(?<=\d)(?:st|nd|rd|th)\b"
 
 
-def free_form(own: Column, resolved: Callable[[Column, Column, Column], Column], day_first: bool, default: date | None) -> Column:
+def free_form(own: Column, resolved: Callable[[Column], Column], day_first: bool, default: date | None) -> Column:
     """The date of text in free form, by its tokens: one month's name at most, and numbers, of which those over 31 or of more than two
     digits are years. With a name and two numbers the year is the large one, else the first if both stand before the name, else the second.
 
@@ -264,19 +264,23 @@ def free_form(own: Column, resolved: Callable[[Column, Column, Column], Column],
 
     def read(t: Column) -> Column:
         a, b, name = F.get(t["numbers"], 0), F.get(t["numbers"], 1), t["name"]
+
+        def parts(y: Column, m: Column, d: Column, own_day: bool = True) -> Column:
+            return F.struct(y.alias("year"), m.alias("month"), d.alias("day"), F.lit(own_day).alias("own_day"))
+
         first_is_year = large(a) | (~large(b) & (t["before"] == 2))
-        out = F.when(name.isNotNull() & (t["n"] == 2), F.when(first_is_year, resolved(a, name, b)).otherwise(resolved(b, name, a)))
+        out = F.when(name.isNotNull() & (t["n"] == 2), parts(F.when(first_is_year, a).otherwise(b), name, F.when(first_is_year, b).otherwise(a)))
         if default is None:
             return out
         year, month, day = (F.lit(str(x)) for x in (default.year, default.month, default.day))
         swap = F.lit(day_first) & (b.try_cast("int") <= 12)
-        out = out.when(name.isNotNull() & (t["n"] == 1), F.when(large(a), resolved(a, name, day)).otherwise(resolved(year, name, a)))
-        out = out.when(name.isNotNull() & (t["n"] == 0), resolved(year, name, day))
-        out = out.when(name.isNull() & (t["n"] == 2), F.when(large(a), resolved(a, b, day)).when(large(b), resolved(b, a, day)).when(swap, resolved(year, b, a)).otherwise(resolved(year, a, b)))
-        return out.when(name.isNull() & (t["n"] == 1) & (F.length(a) == 4), resolved(a, month, day))
+        out = out.when(name.isNotNull() & (t["n"] == 1), F.when(large(a), parts(a, name, day, False)).otherwise(parts(year, name, a)))
+        out = out.when(name.isNotNull() & (t["n"] == 0), parts(year, name, day, False))
+        out = out.when(name.isNull() & (t["n"] == 2), F.when(large(a), parts(a, b, day, False)).when(large(b), parts(b, a, day, False)).when(swap, parts(year, b, a)).otherwise(parts(year, a, b)))
+        return out.when(name.isNull() & (t["n"] == 1) & (F.length(a) == 4), parts(a, month, day, False))
 
     words = F.trim(F.regexp_replace(F.regexp_replace(F.lower(own), _CLOCK, " "), _FILLERS, " "))
-    return let(words, lambda w: let(tokens(w), read))
+    return let(words, lambda w: let(tokens(w), lambda t: let(read(t), resolved)))
 
 
 def parsed_date(own: Column, day_first: bool = False, this_year: int | None = None, default: date | None = None) -> Column:
@@ -297,14 +301,13 @@ def parsed_date(own: Column, day_first: bool = False, this_year: int | None = No
         swap = p["month"].try_cast("int") > 12
         return let(F.struct(p["year"].alias("year"), F.when(swap, p["day"]).otherwise(p["month"]).alias("month"), F.when(swap, p["month"]).otherwise(p["day"]).alias("day")), day)
 
-    def parts(year: Column, month: Column, dom: Column) -> Column:
+    def free(p: Column) -> Column:
         """Of a date in free form; a day that came from the default is cut to the month's last."""
-        last = F.dayofmonth(F.last_day(_day(full(year), _number(month), F.lit("1"))))
-        own_day = F.least(dom.try_cast("int"), last).cast("string") if default is not None and _is_default(dom) else dom
-        return _day(full(year), _number(month), own_day)
-
-    def _is_default(dom: Column) -> bool:
-        return str(dom) == str(F.lit(str(default.day)))
+        if default is None:
+            return day(p)
+        last = F.dayofmonth(F.last_day(_day(full(p["year"]), _number(p["month"]), F.lit("1"))))
+        own = F.when(p["own_day"], p["day"]).otherwise(F.least(p["day"].try_cast("int"), last).cast("string"))
+        return _day(full(p["year"]), _number(p["month"]), own)
 
     def _number(month: Column) -> Column:
         return F.when(month.rlike(r"^\d+$"), month).otherwise(F.element_at(months, F.lower(F.substring(month, 1, 3))))
@@ -317,7 +320,7 @@ def parsed_date(own: Column, day_first: bool = False, this_year: int | None = No
         let(_groups(own, rf"(?i)^{_WEEKDAY}(\d{{1,2}})(?:st|nd|rd|th)?[-\s/.]+(?:of\s+)?{name}[-\s/.,]+(\d{{4}}|\d{{2}}){_TIME}$", ("day", "month", "year")), day),
         let(_groups(own, rf"(?i)^{_WEEKDAY}{name}[-\s/.]+(\d{{1,2}})(?:st|nd|rd|th)?[-\s/.,]+(\d{{4}}|\d{{2}}){_TIME}$", ("month", "day", "year")), day),
         let(_groups(own, rf"(?i)^(\d{{4}})[-\s/.]+{name}[-\s/.]+(\d{{1,2}}){_TIME}$", ("year", "month", "day")), day),
-        free_form(own, parts, day_first, default),
+        free_form(own, free, day_first, default),
     ]
     return F.coalesce(*ways)
 

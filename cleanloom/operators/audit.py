@@ -18,8 +18,8 @@ def _normal(c: str) -> Column:
 
 @dataclass
 class AuditResult:
-    """Sides are grouped by key once: keys that each side has once are compared there, row by row. Only keys that a side repeats (blank
-    ones, as a rule) are joined with each other, n by m, and only where `mismatches` is read; `stats` has their numbers from counts."""
+    """Keys and all numbers come from sides grouped by key once: keys that each side has once are compared there, and of those that a side
+    repeats (blank ones, as a rule) pairs are counted without making them. Rows are joined, n by m, only where `mismatches` is read."""
 
     missing_keys: DataFrame  # key, in order
     unexpected_keys: DataFrame
@@ -107,11 +107,9 @@ def audit_import(expected: DataFrame, exported: DataFrame, key: str, fields: lis
     fields = [f for f in fields or expected.columns if f not in (key, RID) and f in expected.columns and f in exported.columns]
     left, right = side(expected, key, fields), side(exported, key, fields)
     grouped = by_key(left, right)
-    own = grouped if match_blank_keys else grouped.filter("key <> ''")
     if fields:
-        often = own.filter(OFTEN).select("key")
-        repeated = left.join(often, "key", "left_semi").withColumnRenamed("row", "x").join(right.withColumnRenamed("row", "y"), "key")
-        unlike = _unlike(own.filter(ONCE).select("key", "x", "y"), fields).unionByName(_unlike(repeated, fields))
+        rows = left.withColumnRenamed("row", "x").join(right.withColumnRenamed("row", "y"), "key")
+        unlike = _unlike(rows if match_blank_keys else rows.filter("key <> ''"), fields)
         mismatches = unlike.orderBy("m.pos", "erid", "irid").select("key", "m.field", "m.expected", "m.imported")
     else:
         mismatches = expected.sparkSession.createDataFrame([], "key string, field string, expected string, imported string")

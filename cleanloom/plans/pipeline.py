@@ -55,7 +55,7 @@ def run_pipeline(source: DataFrame, crm: str | MappingConfig = "hubspot", cleani
     mapping.frame = mapping.frame.persist(StorageLevel.MEMORY_AND_DISK)
     target = mapping.config
     validation = validate_data(mapping.frame, target.marked("required"), target.marked("unique"), config.date_format, config.default_region, strict_dates)
-    page = ""
+    result = PipelineResult(cleaning, mapping, validation, "")
     if report:
-        page = render_qa_report(validation, mapping.mapping_log(), cleaning.actions_frame(), mapping.frame, project_name, source_filename, target.crm, structure_summary(mapping.frame.drop(RID)))
-    return PipelineResult(cleaning, mapping, validation, page)
+        result.qa_report_html = render_qa_report(result, project_name, source_filename, structure_summary(mapping.frame.drop(RID)))
+    return result

@@ -203,18 +203,25 @@ _add("e2e_mapped", lambda spark, d: mapping.map_data(clean.first_of_each(_cleane
 _add("valid_url", lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", page_scan.is_valid_url(F.col("url")).alias("valid")), "SELECT page_id, regexp_matches(url, '^(https?://)?([^.\\s]+\\.[^\\s]{2,}|localhost)(/[^\"]*)?$', 'i') AS valid FROM pages")
 
 
+#: What is counted in a page's text as findings of three severities, and whose addresses are their targets.
+_MARKS = (("critical", "<b>"), ("serious", "<br>"), ("minor", "<a href="))
+
+
 def _findings(spark: SparkSession, d: str) -> DataFrame:
-    """Findings by arithmetic on page_id, to have some: three for each page."""
-    pages = spark.read.parquet(f"{d}/pages.parquet").selectExpr("page_id as page", "explode(array(0, 1, 2)) as k")
-    return pages.selectExpr(
-        "page", "concat('rule', k) as id", "cast(null as string) as help", "element_at(array('critical', 'serious', 'minor'), k + 1) as impact", "cast(null as string) as description",
-        "(page + k) % 5 as nodes", "transform(sequence(0, cast(page % 13 as int)), x -> concat('t', x)) as targets", "array('wcag2a', 'best') as tags",
-    )
+    """Findings to add up, from the pages' own texts: how often each mark occurs; each mark's targets are the page's links."""
+    pages = spark.read.parquet(f"{d}/pages.parquet").selectExpr("page_id as page", "coalesce(html, '') as html")
+    made = [F.struct(F.lit(mark).alias("id"), F.lit(impact).alias("impact"), F.regexp_count("html", F.lit(mark)).alias("nodes")) for impact, mark in _MARKS]
+    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    none = F.lit(None).cast("string")
+    return pages.select("page", F.explode(F.array(*made)).alias("f"), links.alias("targets")).select("page", "f.id", none.alias("help"), "f.impact", none.alias("description"), "f.nodes", "targets", F.array(F.lit("wcag2a"), F.lit("best")).alias("tags"))
 
 
 _TOTALS = """SELECT page, total, critical, pages_affected, greatest(0, CAST(floor(100 - total * 1.5 + 0.5) AS BIGINT)) AS score FROM (
-  SELECT page_id AS page, greatest(1, page_id % 5) + greatest(1, (page_id + 1) % 5) + greatest(1, (page_id + 2) % 5) AS total,
-         greatest(1, page_id % 5) + greatest(1, (page_id + 1) % 5) AS critical, page_id % 13 + 1 AS pages_affected FROM pages)"""
+  SELECT page_id AS page, greatest(1, b) + greatest(1, br) + greatest(1, a) AS total, greatest(1, b) + greatest(1, br) AS critical,
+         least(50, greatest(1, len(list_distinct(links)))) AS pages_affected
+  FROM (SELECT page_id, len(regexp_extract_all(html, '<b>')) AS b, len(regexp_extract_all(html, '<br>')) AS br,
+               len(regexp_extract_all(html, '<a href=')) AS a, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS links
+        FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)))"""
 _add("page_totals", lambda spark, d: page_scan.page_totals(_findings(spark, d)), _TOTALS)
 _add(
     "page_exposure",

@@ -6,27 +6,34 @@ import html
 import os
 from datetime import datetime, timezone
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame
 
-from ..operators.validate import ValidationReport
 from ..sources.rows import RID
 
+if TYPE_CHECKING:
+    from .pipeline import PipelineResult
+
+# How many rows a table shows; the names of environment variables; what is said of empty and of longer tables.
 SHOWN = 200
+BRAND = {"brand_name": ("BRAND_NAME", "Data preparation"), "tool_name": ("TOOL_NAME", "Import report"), "logo_url": ("LOGO_URL", "")}
+NOTHING, MORE = "Nothing to report.", "Showing first {} of {} rows."
 
 
 def branding() -> dict[str, str]:
     """From the environment, at the time of the report; neutral where it says nothing."""
-    return {"brand_name": os.getenv("BRAND_NAME", "Data preparation"), "tool_name": os.getenv("TOOL_NAME", "Import report"), "logo_url": os.getenv("LOGO_URL", "")}
+    return {name: os.getenv(*where) for name, where in BRAND.items()}
 
 
 def table(df: DataFrame, limit: int = SHOWN) -> str:
     columns = [c for c in df.columns if c != RID]
     rows = df.select(*[f"`{c}`" for c in columns]).limit(limit + 1).collect() if columns else []
     if not rows:
-        return "<p>Nothing to report.</p>"
+        return f"<p>{NOTHING}</p>"
     cell = lambda tag, x: f"<{tag}>{html.escape('' if x is None else str(x))}</{tag}>"
     body = "".join(f"<tr>{''.join(cell('td', x) for x in r)}</tr>" for r in rows[:limit])
-    more = f"<p>Showing first {limit} of {df.count()} rows.</p>" if len(rows) > limit else ""
+    more = f"<p>{MORE.format(limit, df.count())}</p>" if len(rows) > limit else ""
     return f"<table><tr>{''.join(cell('th', c) for c in columns)}</tr>{body}</table>{more}"
 
 
@@ -48,15 +55,19 @@ def page(title: str, parts: list[tuple[str, str]], brand: dict[str, str] | None
     return f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{style}</style></head><body>{logo}<p>{brand['brand_name']} · {brand['tool_name']} · {made}</p><h1>{html.escape(title)}</h1>{body}</body></html>"
 
 
-def render_qa_report(report: ValidationReport, mapping_log: DataFrame, cleaning_log: DataFrame, mapped: DataFrame, project_name: str = "", source_filename: str = "", crm: str = "", structural: dict | None = None, brand: dict[str, str] | None = None) -> str:
-    s = report.summary()
-    cards = f"<p>{html.escape(project_name)} · {html.escape(source_filename)} · {html.escape(crm)}</p><p class='{score_class(s['quality_score'])}'>Quality score {s['quality_score']}%</p>"
-    parts = [("Summary", cards + _pairs(s, ("Figure", "Value"))), ("Checks", _pairs({k: (v["passed"], v["failed"]) for k, v in report.checks().items()}, ("Check", "Passed", "Failed")))]
+def render_qa_report(result: PipelineResult, title: str = "", source: str = "", structural: dict | None = None, brand: dict[str, str] | None = None) -> str:
+    """Of a pipeline's result; title: the project's, source: the file's name, structural: as structure_summary() gives it."""
+    report = result.validation
+    figures = report.summary()
+    score = figures["quality_score"]
+    named = " · ".join(html.escape(x) for x in (title, source, result.mapping_config.crm))
+    shown = {"Summary": f"<p>{named}</p><p class='{score_class(score)}'>Quality score {score}%</p>" + _pairs(figures, ("Figure", "Value"))}
+    shown["Checks"] = _pairs({k: (v["passed"], v["failed"]) for k, v in report.checks().items()}, ("Check", "Passed", "Failed"))
     if structural is not None:
         said = "".join(f"<li>{html.escape(e['type'])}: {html.escape(e['message'])}</li>" for e in structural["errors"])
-        parts.append(("File structure", f"<ul>{said}</ul>" if said else "<p class='ok'>Valid tabular file.</p>"))
-    parts += [("Issues", table(report.issues_frame())), ("Field mapping", table(mapping_log)), ("Cleaning actions", table(cleaning_log)), ("Sample of passing records", table(report.passing(mapped)))]
-    return page("Quality report", parts, brand)
+        shown["File structure"] = f"<ul>{said}</ul>" if said else "<p class='ok'>No fault of structure.</p>"
+    tables = {"Issues": report.issues_frame(), "Field mapping": result.mapping_log(), "Cleaning actions": result.cleaning_log(), "Sample of passing records": report.passing(result.clean_frame)}
+    return page("Quality report", [*shown.items(), *((name, table(df)) for name, df in tables.items())], brand)
 
 
 def render_audit_report(stats: dict, mismatches: DataFrame, project_name: str = "", brand: dict[str, str] | None = None) -> str:
