@@ -34,6 +34,8 @@ from .common import chunks, cut, fresh, key_filter, keyed_rows, may_contain, quo
 from .words import STEP, Words, mix, powers
 
 LENGTH, SPARSE, KGRAM = 50, 32, 8
+#: Windows whose least hash is found at once.
+AT_ONCE = 1 << 14
 #: Odd, for a second and independent hash.
 STEP2 = 0xA0761D6478BD642F
 
@@ -44,7 +46,9 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def minimisers(grams: np.ndarray, windows: int) -> np.ndarray:
     """For each of the first `windows` places, the place of the least (leftmost) hash among the SPARSE from there."""
-    return np.arange(windows) + sliding_window_view(grams, SPARSE)[:windows].argmin(1)
+    seen = sliding_window_view(grams, SPARSE)
+    parts = [seen[k : min(k + AT_ONCE, windows)].argmin(1) for k in range(0, windows, AT_ONCE)]  # argmin copies what it is given
+    return np.arange(windows) + np.concatenate(parts)
 
 
 def suffixes(docs: DataFrame) -> DataFrame:

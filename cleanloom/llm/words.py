@@ -39,6 +39,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes whose values are summed at once; with one very long text, arrays of eight bytes for each of its bytes would be what a task holds.
+BLOCK = 1 << 18
+
+
+def _word_sums(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Of each word the sum of its bytes' values times powers that begin at the word: differences of prefix sums, block by block."""
+    out, carry = np.zeros(len(start), np.uint64), np.uint64(0)
+    base, inverse = powers(_BASE, BLOCK), powers(_INVERSE, BLOCK)
+    for at in range(0, len(raw), BLOCK):
+        part = raw[at : at + BLOCK]
+        sums = np.empty(len(part) + 1, np.uint64)
+        sums[0] = carry
+        values = _VALUE[part]
+        values *= base[: len(part)]
+        values *= np.uint64(pow(_BASE, at, 1 << 64))
+        np.cumsum(values, out=sums[1:], dtype=np.uint64)
+        sums[1:] += carry
+        carry = sums[-1]
+        # Ends first: a word that begins in this block may end in a later one.
+        a, b = np.searchsorted(stop, [at + 1, at + len(part) + 1])
+        out[a:b] += sums[stop[a:b] - at]
+        a, b = np.searchsorted(start, [at, at + len(part)])
+        out[a:b] -= sums[start[a:b] - at]
+    for at in range(0, len(raw), BLOCK):
+        a, b = np.searchsorted(start, [at, at + BLOCK])
+        out[a:b] *= inverse[start[a:b] - at] * np.uint64(pow(_INVERSE, at, 1 << 64))
+    return out
+
+
 class Words:
     """Word hashes of texts. Text i has hashes[first[i]:first[i + 1]]; begin and end are byte offsets in text i."""
 
@@ -47,9 +76,7 @@ class Words:
         space = _SPACE[raw]
         edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
         start, stop = edge[::2], edge[1::2]
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_VALUE[raw] * powers(_BASE, len(raw)), out=sums[1:], dtype=np.uint64)
-        self.hashes = mix((sums[stop] - sums[start]) * powers(_INVERSE, len(raw))[start])
+        self.hashes = mix(_word_sums(raw, start, stop))
         base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
         self.first = np.searchsorted(start, base)
         own = np.repeat(base[:-1], np.diff(self.first))
