@@ -45,9 +45,11 @@ class WordTokens:
     fraction of the library's time for many new words; other parts, or another kind of tokenizer, go to the library.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = CACHE) -> None:
         from tokenizers import Tokenizer
 
+        self.most = most
+
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
@@ -98,7 +100,7 @@ class WordTokens:
         for i in whole:
             parts[i] = []
         units = set().union(*parts)
-        if len(self.cache) > CACHE:  # what this batch needs stays
+        if len(self.cache) > self.most:  # what this batch needs stays
             self.cache = {u: self.cache[u] for u in units.intersection(self.cache)}
         known = self.cache
         missing = list(units.difference(known))
@@ -185,17 +187,17 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-_made: dict[str, WordTokens] = {}
+_made: dict[tuple[str, int], WordTokens] = {}
 
 
-def tokens_of(path: str) -> WordTokens:
+def tokens_of(path: str, most: int = CACHE) -> WordTokens:
     """One for each worker process."""
-    if path not in _made:
-        _made[path] = WordTokens(path)
-    return _made[path]
+    if (path, most) not in _made:
+        _made[path, most] = WordTokens(path, most)
+    return _made[path, most]
 
 
-def tokenised(docs: DataFrame, path: str) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, most: int = CACHE) -> DataFrame:
     """doc_id, ids (little-endian, 16 or 32 bits), doc_tokens and the key along the curve of each document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,9 +247,12 @@ def places(table: DataFrame) -> DataFrame:
     return inside.join(F.broadcast(starts), "part").select("row", (F.col("before") + F.col("inside")).alias("global_start"))
 
 
-def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (32-bit, little-endian)."""
-    table = cut(tokenised(docs, path).withColumn("row", F.monotonically_increasing_id()), "curve-ids")
+def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, most: int = CACHE) -> DataFrame:
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (32-bit, little-endian).
+
+    most: how many words a worker keeps with their ids; fewer take less memory and more time.
+    """
+    table = cut(tokenised(docs, path, most).withColumn("row", F.monotonically_increasing_id()), "curve-ids")
     placed = table.select("row", "doc_id", "ids", "doc_tokens").join(places(table), "row").select("doc_id", "ids", "doc_tokens", "global_start")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
