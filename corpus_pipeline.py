@@ -35,7 +35,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded(spark)
-    return curve_packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    # Workers go on to other stages of later runs, so they keep fewer words than the operator alone does.
+    return curve_packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), most=300_000).drop("ids")
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("passages", passages), ("packing", packing)]
