@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import itertools
 import os
 import re
@@ -9,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -109,6 +112,13 @@ def key_filter(keys: DataFrame, key: str) -> DataFrame:
     return at.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
 
 
+def give_back() -> None:
+    """Hand what this worker has freed back to the system: workers go on to other stages, and their allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def quoted(name: str):
     """The column of that name, whatever signs it holds."""
     return F.col("`" + name.replace("`", "``") + "`")

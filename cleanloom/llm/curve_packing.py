@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import PairTable, by_length, merge_rows
-from .common import chunks, cut
+from .common import chunks, cut, give_back
 
 SEQUENCE = 4096
 #: Fixed by the contract: the id that ends each document.
@@ -201,10 +201,10 @@ def tokenised(docs: DataFrame, path: str, most: int = CACHE) -> DataFrame:
     """doc_id, ids (little-endian, 16 or 32 bits), doc_tokens and the key along the curve of each document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, matrix = tokens_of(path), projection()
+        coder, matrix, chunk = tokens_of(path, most), projection(), CHUNK * most // CACHE
         for batch in batches:
             at = 0
-            for part in chunks(batch.column("text"), CHUNK):
+            for part in chunks(batch.column("text"), chunk):
                 raw = coder.encode_batch(part)
                 ids = [np.frombuffer(x, coder.kind) for x in raw]
                 yield pa.RecordBatch.from_arrays(
@@ -217,6 +217,7 @@ def tokenised(docs: DataFrame, path: str, most: int = CACHE) -> DataFrame:
                     ["doc_id", "ids", "doc_tokens", "key"],
                 )
                 at += len(part)
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, doc_tokens long, key long")
@@ -250,7 +251,7 @@ def places(table: DataFrame) -> DataFrame:
 def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, most: int = CACHE) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (32-bit, little-endian).
 
-    most: how many words a worker keeps with their ids; fewer take less memory and more time.
+    most: how many words a worker keeps with their ids, and in proportion how much text it takes at once; fewer take less memory and more time.
     """
     table = cut(tokenised(docs, path, most).withColumn("row", F.monotonically_increasing_id()), "curve-ids")
     placed = table.select("row", "doc_id", "ids", "doc_tokens").join(places(table), "row").select("doc_id", "ids", "doc_tokens", "global_start")

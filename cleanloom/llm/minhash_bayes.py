@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, fresh, key_filter, keyed_rows, may_contain, quoted, without_keys
+from .common import chunks, cut, fresh, give_back, key_filter, keyed_rows, may_contain, quoted, without_keys
 from .components import components
 from .words import mix, shingle_sets
 
@@ -92,6 +92,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     ["doc_id", "n_shingles", "digest", "sig"],
                 )
                 at += len(part)
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, sig binary")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import chunks, cut, fresh, key_filter, keyed_rows, may_contain, quoted
+from .common import chunks, cut, fresh, give_back, key_filter, keyed_rows, may_contain, quoted
 from .words import STEP, Words, mix, powers
 
 LENGTH, SPARSE, KGRAM = 50, 32, 8
@@ -87,6 +87,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
                     ["key", "other", "doc_id", "word", "n_words"],
                 )
                 at += n
+        give_back()
 
     usable = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return usable.mapInArrow(run, "key long, other long, doc_id long, word int, n_words int")
@@ -152,6 +153,7 @@ def _windows(docs: DataFrame, places: DataFrame) -> DataFrame:
                 h1, h2 = (words.sequences(LENGTH, step)[where] if len(where) else np.empty(0, np.uint64) for step in (STEP, STEP2))
                 yield pa.RecordBatch.from_arrays([_signed(h1), _signed(h2), pa.array(ids[at : at + len(part)][own]), pa.array(start.astype(np.int32))], ["h1", "h2", "doc_id", "start"])
                 at += len(part)
+        give_back()
 
     texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = may_contain(texts, key_filter(places, "doc_id"), "doc_id")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut
+from .common import chunks, cut, give_back
 from .words import Words
 
 LABELLERS, DIMENSIONS, SAMPLE, THRESHOLD = 10, 1024, 4000, 0.5
@@ -214,6 +214,7 @@ def keep_good(docs: DataFrame, model: Model | None = None) -> DataFrame:
         for batch in batches:
             keep = [s >= THRESHOLD for part in chunks(batch.column("text")) for s in model.score(part)[1]]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
