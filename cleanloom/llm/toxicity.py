@@ -1,7 +1,10 @@
 """Toxicity by a subsequence string kernel, a Nyström map and a linear support vector machine.
 
 The string kernel compares words, with marks at both ends, by the ordered triples of letters that they share, with gaps: triples
-that span up to SPAN letters count DECAY for each letter skipped, so `idiot` still resembles `id-iot`, `idxiot` and `1diot`.
+that span up to SPAN letters count DECAY for each letter skipped. Digits and signs written for letters are these letters, and
+other signs are skipped, so `1diot` and `id-iot` are `idiot`. A letter put in makes a word's vector longer than one inserted letter
+should (`idxiot` has half as many triples again), so a word is a bag of its own forms, as a document is of words: it is worth the
+greatest value of the word and, less MISSING a letter, of what is left when a stretch of up to OMIT letters is left out.
 Normalised to S it enters the machine's kernel exp((S - 1) / WIDTH). Landmarks are words that tell toxic from other training
 documents, and frequent other words. The Nyström map takes a word to its kernel values with the landmarks, whitened; a linear
 SVM on these separates insults from other words. Labelled sentences have their document's label only, so training is by
@@ -36,6 +39,8 @@ from pyspark.sql import functions as F
 from .common import chunks
 
 SAMPLE, SPAN, DECAY, WIDTH, TOP = 2000, 6, 0.6, 0.2, 8
+#: Letters that may be left out of a word to find an insult in it, what must be left, and what each of them costs.
+OMIT, SHORTEST, MISSING = 2, 4, 0.3
 #: The value of a word that resembles no sign of toxicity.
 FLOOR = -1.2
 #: 26 letters, 10 classes of letters beyond ASCII, and the marks at a word's ends.
@@ -179,6 +184,12 @@ def vectors(words: list[str]) -> np.ndarray:
     return out
 
 
+def omissions(word: str) -> list[str]:
+    """The word, and what is left of it without each stretch of up to OMIT letters: at least SHORTEST letters."""
+    sizes = range(1, min(OMIT, len(word) - SHORTEST) + 1)
+    return list(dict.fromkeys([word, *(word[:k] + word[k + n :] for n in sizes for k in range(len(word) - n + 1))]))
+
+
 def svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 600) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss; y is 1 or -1, and classes weigh the same."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
@@ -223,16 +234,28 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}, "base": None}
 
-    def valued(self, strings: list[str]) -> np.ndarray:
-        """The machine's values of words."""
+    def alone(self, strings: list[str]) -> np.ndarray:
+        """The machine's values of words as they stand."""
         if self.base is None:
             self.base = vectors(self.landmarks)
+        value = [np.exp((similarities(strings[k : k + 500], self.base) - 1) / WIDTH) @ self.machine + self.bias for k in range(0, len(strings), 500)]
+        return np.maximum(np.concatenate([*value, np.empty(0)]), FLOOR)
+
+    def valued(self, strings: list[str]) -> np.ndarray:
+        """The machine's values of words: of each the greatest of its own and, less MISSING a letter, those of what omissions leave."""
         if len(self.known) > 200_000:
             self.known.clear()
         new = [w for w in dict.fromkeys(strings) if w not in self.known]
         for k in range(0, len(new), 500):
-            value = np.exp((similarities(new[k : k + 500], self.base) - 1) / WIDTH) @ self.machine + self.bias
-            self.known.update(zip(new[k : k + 500], np.maximum(value, FLOOR).tolist(), strict=True))
+            part = new[k : k + 500]
+            forms = [omissions(w) for w in part]
+            size = np.array([len(f) for f in forms])
+            flat = [w for form in forms for w in form]
+            lost = np.repeat([len(w) for w in part], size) - [len(w) for w in flat]
+            distinct = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+            value = self.alone(list(distinct))[[distinct[w] for w in flat]] - MISSING * lost
+            best = np.maximum.reduceat(value, np.cumsum(size) - size)
+            self.known.update(zip(part, np.maximum(best, FLOOR).tolist(), strict=True))
         return np.array([self.known[w] for w in strings])
 
     def passed(self, letters: Letters) -> np.ndarray:

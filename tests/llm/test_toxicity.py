@@ -39,6 +39,41 @@ def test_screen_loses_nothing_that_counts():
     assert lost <= 0.01 * len(texts), lost
 
 
+def test_omissions():
+    assert X.omissions("abcd") == ["abcd"] and X.omissions("a") == ["a"] and X.omissions("") == [""]
+    assert X.omissions("abcde") == ["abcde", "bcde", "acde", "abde", "abce", "abcd"]
+    for word in ("aabbaa", "numpty", "scuummm"):
+        want = {word} | {word[:k] + word[k + n :] for n in (1, 2) for k in range(len(word) - n + 1) if len(word) - n >= 4}
+        got = X.omissions(word)
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_values_are_the_greatest_of_the_omissions():
+    docs, labels = made()
+    model = X.learn([d[1] for d in docs[: len(labels)]], [t for _, _, t in labels])
+    words = ["numpty", "nuxmpty", "nuxympty", "dimwwit", "scum", "abc", "tharon", "tharon"]
+    want = [max(float(model.alone([f])[0]) - X.MISSING * (len(w) - len(f)) for f in X.omissions(w)) for w in words]
+    for _ in range(2):  # the second time from what is known
+        assert np.allclose(model.valued(words), np.maximum(want, X.FLOOR), atol=1e-6)
+    assert len(model.valued([])) == 0
+
+
+def test_letters_put_into_insults():
+    """Any letter at any place, none of them trained with: insults stay flagged, while what is no insult stays clean."""
+    docs, labels = made()
+    model = X.learn([d[1] for d in docs[: len(labels)]], [t for _, _, t in labels])
+    rng = random.Random(5)
+    clean = [d[1] for d, (_, _, t) in zip(docs, labels, strict=False) if not t][:60]
+    insults = ["numpty", "dimwit", "blockhead"]
+    forms = [w[:k] + c + w[k:] for w in insults for k in range(1, len(w)) for c in ("q", "z", "v", "u", "gk")]
+    put = lambda word: " ".join([*(t := rng.choice(clean).split())[:20], word, *t[20:]])
+    assert (model.score([put(w) for w in forms]) >= 0.5).mean() > 0.9
+    # Without as many letters of the insult, or with letters of other words: few are flagged.
+    others = ["".join(rng.sample(w, len(w))) for w in insults for _ in range(20)]
+    assert (model.score([put(w) for w in others]) >= 0.5).mean() < 0.1
+    assert (model.score(clean) >= 0.5).mean() < 0.03
+
+
 def made(n=900):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 7)))
