@@ -13,7 +13,7 @@ from ..functions.sql import register_functions
 from ..operators import structure
 from ..sources.delimited import read_delimited
 from ..sources.files import write_single
-from ..sources.rows import RID
+from ..sources.rows import RID, numbered, with_order
 from ..sources.shared import shared_path
 from .queries import _ALL, _MONTH, _ROWS, X, _add, contacts, text_only
 
@@ -162,10 +162,10 @@ _add("dates_free_form", _dates, f"SELECT n, CAST(CASE n % 5 {_WANT} END AS VARCH
 
 
 def _written(spark: SparkSession, d: str) -> DataFrame:
-    """A single file in the order of the rows, read back by Spark's own reader."""
+    """A single file in the order of the rows, read back by Spark's own reader, which cuts a large one into several tasks."""
     path = shared_path(spark, "single") + ".csv"
     write_single(text_only(spark, d), path, RID)
-    rows = spark.read.csv(path, header=True, escape='"').withColumn("at", F.monotonically_increasing_id())
+    rows = numbered(with_order(spark.read.csv(path, header=True, escape='"')), "at")
     return rows.select("at", "SKU", F.coalesce("Email Address", F.lit("")).alias("email"))
 
 

@@ -35,9 +35,10 @@ def put(spark: SparkSession, path: str, data: bytes | str) -> str:
 
 def write_single(df: DataFrame, path: str, order: str | None = None) -> str:
     """One CSV file with a header, in the order of a column that isn't written; blanks and nulls are bare, white space stays."""
-    rows, spark = df.orderBy(order).drop(order) if order else df, df.sparkSession
+    # One task sorts and writes: after a global sort, coalesce(1) may begin with any partition whose place is known.
+    rows, spark = df.repartition(1).sortWithinPartitions(order).drop(order) if order else df.coalesce(1), df.sparkSession
     folder = f"{path}.parts-{uuid.uuid4().hex}"  # beside the target, on its file system, which all executors share
-    rows.coalesce(1).write.csv(folder, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows.write.csv(folder, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     target, files = _at(spark, path)
     parts, _ = _at(spark, folder)
     made = files.globStatus(_at(spark, f"{folder}/part-*")[0])
