@@ -168,10 +168,13 @@ def _parsed_phone(own: Column, region: str) -> Column:
         return F.when(bare["plus"], digits).when(digits.startswith(abroad), F.substring(digits, len(abroad) + 1, 99)).otherwise(inland)
 
     clean = F.regexp_replace(F.regexp_replace(own, r"^(\d+)\.0$", "$1"), r"(?i)[\s,;]*(ext(ension)?\.?|x|#)\s*\d{1,7}$", "")
-    shaped = clean.rlike(r"^\+?[\d\s().\-/\u00a0\u2010-\u2015]+$")
-    bare = F.struct(clean.startswith("+").alias("plus"), F.regexp_replace(clean, r"\D", "").alias("digits"))
-    number = let(bare, lambda b: let(whole(b), lambda w: F.when(_possible(w), F.concat(F.lit("+"), w))))
-    return F.when(shaped, number)
+
+    def number(own: Column) -> Column:
+        shaped = own.rlike(r"^\+?[\d\s().\-/\u00a0\u2010-\u2015]+$")
+        bare = F.struct(own.startswith("+").alias("plus"), F.regexp_replace(own, r"\D", "").alias("digits"))
+        return F.when(shaped, let(bare, lambda b: let(whole(b), lambda w: F.when(_possible(w), F.concat(F.lit("+"), w)))))
+
+    return let(clean, number)
 
 
 def _possible_pattern() -> str:

@@ -13,7 +13,7 @@ from ..functions.sql import register_functions
 from ..operators import structure
 from ..sources.delimited import read_delimited
 from ..sources.files import write_single
-from ..sources.rows import RID, numbered, with_order
+from ..sources.rows import RID, numbered, spread, with_order
 from ..sources.shared import shared_path
 from .queries import _ALL, _MONTH, _ROWS, X, _add, contacts, text_only
 
@@ -137,7 +137,7 @@ _DIGITS = "lpad(cast(n * 7919 % 90000000 + 10000000 as varchar(8)), 8, '0')"
 
 def _phones(spark: SparkSession, d: str) -> DataFrame:
     """A number of each region for all customers, in one row each."""
-    rows = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey as n").withColumn("d", F.expr(_DIGITS))
+    rows = spread(spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey as n"), "n").withColumn("d", F.expr(_DIGITS))
     made = rows.select("n", *[F.expr(shape).alias(region) for region, shape, _, _ in _PHONES])
     return made.select("n", *[f(region, region).alias(f"{region}_{name}") for region, *_ in _PHONES for name, f in (("e164", S.phone_e164), ("valid", S.is_valid_phone))])
 
@@ -152,7 +152,7 @@ _DATES = [("concat('10:30 ', 1 + n % 28, ' ', M, ' ', 2000 + n % 30)", "make_dat
 
 
 def _dates(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/customer.parquet").selectExpr("cast(c_custkey as int) as n")
+    rows = spread(spark.read.parquet(f"{d}/customer.parquet").selectExpr("cast(c_custkey as int) as n"), "n")
     made = F.element_at(F.array(*[F.expr(shape.replace("M", _MONTH)) for shape, _ in _DATES]), F.expr("1 + n % 5"))
     return rows.select("n", S.to_iso_date(made, this_year=2026, default=date(2026, 6, 15)).alias("day"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 RID = "_rid"
 #: A block has a million rows at most; a table of 10**12 rows has some 10**6 blocks.
 BLOCK = 20
+#: Tasks a core over which `spread` deals rows.
+TASKS = 4
 
 
 def with_order(df: DataFrame) -> DataFrame:
@@ -15,6 +17,11 @@ def with_order(df: DataFrame) -> DataFrame:
     return df if RID in df.columns else df.withColumn(RID, F.monotonically_increasing_id())
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by a key over all cores, for work that is costly a row: Spark reads a file's row group, a million rows or so, in one task."""
+    return df.repartition(TASKS * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     """df with contiguous numbers from 0 in the order of _rid.
 

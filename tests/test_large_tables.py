@@ -32,3 +32,15 @@ def test_single_file_read_in_several_tasks_keeps_its_numbers(spark, customers):
     found = {r["at"]: r["SKU"] for r in rows}
     assert sorted(found) == list(range(6300))
     assert [found[k] for k in (1, 2, 5999, 6001, 6002)] == ["1", "2", "5999", "20", "40"]
+
+
+def largest_share(df):
+    """The share of rows that the task with most of them has."""
+    tasks = df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("rows"), F.max(F.hash(*df.columns)))  # all columns are made
+    counts = [r["rows"] for r in tasks.collect()]
+    return max(counts) / sum(counts)
+
+
+def test_rows_of_one_row_group_are_dealt_over_all_cores(spark, customers):
+    for name in ("phones_of_regions", "dates_free_form"):
+        assert largest_share(queries()[name](spark, customers)) < 0.2, name
