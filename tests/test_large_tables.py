@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from cleanloom.operators.structure import cell_errors
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +45,12 @@ def largest_share(df):
 def test_rows_of_one_row_group_are_dealt_over_all_cores(spark, customers):
     for name in ("phones_of_regions", "dates_free_form"):
         assert largest_share(queries()[name](spark, customers)) < 0.2, name
+
+
+def test_cells_are_judged_where_rows_are_read_and_errors_keep_their_rows(spark):
+    rows = spark.range(6000, numPartitions=3).select(F.when(F.col("id") % 1000 == 7, F.lit("seven")).otherwise(F.col("id").cast("string")).alias("whole"))
+    found = cell_errors(rows)
+    # Rows are dealt by their block for numbers; judging cells, which is costly, comes before that.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("is no integer") > plan.index("Window")
+    assert sorted(tuple(r) for r in found.collect()) == [(k + 9, "whole", "type-error", "'seven' is no integer") for k in range(0, 6000, 1000)]
