@@ -16,7 +16,7 @@ from ..functions import scalars as S
 from ..operators import audit, clean, mapping, page_scan, validate
 from ..operators.roles import detect_column_roles
 from ..sources.config import CleaningConfig, MappingConfig
-from ..sources.rows import RID, numbered
+from ..sources.rows import RID, numbered, spread
 from .pipeline import run_pipeline
 
 COLUMNS = ["First Name", "Last Name", "Email Address", "Phone 1", "Created Date", "SKU", "City"]
@@ -25,7 +25,7 @@ _MONTH = "element_at(array('Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep'
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row with n, its key; _rid gives the order: by key, repeats last."""
-    base = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("n"), "c_acctbal")
+    base = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("n"), "c_acctbal"), "n")
     a, b = "lpad(200 + n % 700, 3, '0')", "lpad(n % 10000, 4, '0')"
     made = base.selectExpr(
         "n",

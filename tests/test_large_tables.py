@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from cleanloom.operators.structure import cell_errors
+from cleanloom.plans.queries import contacts
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +55,9 @@ def test_cells_are_judged_where_rows_are_read_and_errors_keep_their_rows(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("is no integer") > plan.index("Window")
     assert sorted(tuple(r) for r in found.collect()) == [(k + 9, "whole", "type-error", "'seven' is no integer") for k in range(0, 6000, 1000)]
+
+
+def test_types_are_measured_over_all_cores(spark, customers):
+    assert largest_share(contacts(spark, customers)) < 0.2
+    types = {r["column"]: (r["type"], r["cells"]) for r in queries()["column_types"](spark, customers).collect()}
+    assert types["whole"] == ("integer", 6300) and types["day"] == ("date", 6300) and types["city"] == ("text", 6300)
