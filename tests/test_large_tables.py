@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from cleanloom.operators.structure import cell_errors
 from cleanloom.plans.queries import contacts
+from cleanloom.sources.rows import RID, numbered
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +62,11 @@ def test_types_are_measured_over_all_cores(spark, customers):
     assert largest_share(contacts(spark, customers)) < 0.2
     types = {r["column"]: (r["type"], r["cells"]) for r in queries()["column_types"](spark, customers).collect()}
     assert types["whole"] == ("integer", 6300) and types["day"] == ("date", 6300) and types["city"] == ("text", 6300)
+
+
+def test_numbered_rows_lie_in_many_tasks_and_are_contiguous_over_spans(spark):
+    with option(spark, "spark.sql.adaptive.enabled", "false"), option(spark, "spark.sql.shuffle.partitions", "16"):
+        assert largest_share(numbered(spark.range(200_000, numPartitions=2).withColumnRenamed("id", RID))) < 0.3
+    ids = [k * 3 for k in range(9000)] + [k << 22 for k in range(1, 40)] + [(1 << 33) + k for k in range(50)] + [(5 << 40) + 1]
+    rows = numbered(spark.createDataFrame([(i,) for i in reversed(ids)], f"{RID} long"))
+    assert [tuple(r) for r in rows.orderBy(RID).collect()] == [(i, k) for k, i in enumerate(sorted(ids))]
