@@ -5,7 +5,8 @@
 2. Second pass: kept terms, each between two delimiters, form an Aho-Corasick automaton for each language, which recounts their
    occurrences in whole texts. The vocabulary is taken in parts of about PART characters, by hash of the term, so that a worker's
    automaton and what is broadcast stay bounded however large it grows; each part is a scan of its own, written before the next.
-3. Counts are sparse postings (lang, source, term, n). A group's terms without occurrences share one probability, so the value of
+   Kept terms have ids in their order, which stand for them in all that is counted, shuffled and ranked.
+3. Counts are sparse postings (lang, source, id, n). A group's terms without occurrences share one probability, so the value of
    a pair of sources is that of two empty postings for all terms, corrected by sums over the terms of each (aggregated by
    probability first) and over those that both have (summed in tasks, term by term, before they are shuffled).
 
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 from .common import cut, text_or_empty
 
 LEAST, TOP = 3, 200
-#: Characters of a part of the vocabulary, and entries that a task adds up before it hands them on.
+#: Characters of a part of the vocabulary, and entries that a task of the first pass adds up before it hands them on.
 PART, HELD = 12_000_000, 600_000
+#: Occurrences that a task of the second pass sorts at once, entries that it adds up before it hands them on, and rows of a batch of these.
+SORTED, SUMMED, BATCH = 2_000_000, 2_000_000, 200_000
 #: Pairs of postings compared at once.
 PAIRS = 2_000_000
 #: What each byte of UTF-8 becomes: A-Z lower case, other ASCII but a-z a space.
@@ -79,58 +82,114 @@ def vocabulary(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return document_frequencies(docs).filter(F.col("n") >= least).select("lang", "term")
 
 
+def with_ids(kept: DataFrame) -> DataFrame:
+    """lang, term and id; ids of a language's terms are in the terms' order by UTF-8. kept is a written table."""
+    return cut(kept.orderBy("lang", "term").withColumn("id", F.monotonically_increasing_id()), "divergence-ids")
+
+
 _automata: dict[tuple[str, str], object] = {}
 
 
 def automaton(part: str, lang: str, terms: list[str]):
-    """One for each worker, language and part; those of an earlier part go."""
+    """One for each worker, language and part, which gives the places of terms; those of an earlier part go."""
     import ahocorasick
 
     if (part, lang) not in _automata:
         for key in [k for k in _automata if k[0] != part]:
             del _automata[key]
-        found = ahocorasick.Automaton()
-        for term in terms:
-            found.add_word(f" {term} ", term)
+        found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for at, term in enumerate(terms):
+            found.add_word(f" {term} ", at)
         found.make_automaton()
         _automata[part, lang] = found
     return _automata[part, lang]
 
 
-def occurrences(docs: DataFrame, terms: dict[str, list[str]], name: str) -> DataFrame:
-    """lang, source, term and n, the occurrences in the group, of the given terms of each language (a part of bounded size)."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+class _Sums:
+    """Occurrences by group and place of the term, as one number each, sorted and added up in numpy."""
+
+    def __init__(self) -> None:
+        self.waiting: list[np.ndarray] = []
+        self.many = 0
+        self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, keys: np.ndarray) -> None:
+        self.waiting.append(keys)
+        self.many += len(keys)
+        if self.many > SORTED:
+            self.settle()
+
+    def settle(self) -> None:
+        keys, counts = np.unique(np.concatenate([np.empty(0, np.int64), *self.waiting]), return_counts=True)
+        self.waiting, self.many = [], 0
+        if len(self.keys):
+            keys, place = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+            counts, own = np.zeros(len(keys), np.int64), counts
+            counts[place[: len(self.keys)]] = self.counts
+            counts[place[len(self.keys) :]] += own
+        self.keys, self.counts = keys, counts
+
+
+def _counted(docs: DataFrame, terms: dict[str, list[str]], ids: dict[str, list[int]], name: str) -> DataFrame:
+    """lang, source, id and n, the occurrences in the group, of the given terms of each language (a part of bounded size)."""
+    shared = docs.sparkSession.sparkContext.broadcast((terms, {lang: np.array(x, np.int64) for lang, x in ids.items()}))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held, last = shared.value, defaultdict(Counter), itemgetter(1)
-        names = ["lang", "source", "term", "n"]
+        (own, number), last, sums = shared.value, itemgetter(1), _Sums()
+        groups: dict[tuple[str, str], int] = {}
+        first = dict(zip(own, np.cumsum([0, *map(len, own.values())]).tolist(), strict=False))
+        every = np.concatenate([np.empty(0, np.int64), *(number[lang] for lang in own)])
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            sums.settle()
+            of = [pa.array([g[k] for g in groups], pa.string()) for k in (0, 1)]
+            for at in range(0, len(sums.keys), BATCH):
+                keys, counts = sums.keys[at : at + BATCH], sums.counts[at : at + BATCH]
+                group = pa.array(keys >> 32)
+                columns = [of[0].take(group), of[1].take(group), pa.array(every[keys & 0xFFFFFFFF]), pa.array(counts)]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "id", "n"])
+            groups.clear()
+            sums.__init__()
+
         for batch in batches:
             for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text"), strict=True):
                 if lang in own:
                     padded = f" {spaced(text.as_py()).decode()} "
-                    held[lang, source].update(map(last, automaton(name, lang, own[lang]).iter(padded)))
-            if sum(map(len, held.values())) > HELD:
-                yield from _rows(held, names)
-        yield from _rows(held, names)
+                    places = np.fromiter(map(last, automaton(name, lang, own[lang]).iter(padded)), np.int64)
+                    sums.add(places + ((groups.setdefault((lang, source), len(groups)) << 32) + first[lang]))
+            if len(sums.keys) > SUMMED:
+                yield from rows()
+        yield from rows()
+
+    # A task's rows are added up already, so they are spread first and then added up once.
+    each = docs.mapInArrow(run, "lang string, source string, id long, n long").repartition("id")
+    return each.groupBy("lang", "source", "id").agg(F.sum("n").alias("n"))
 
-    each = docs.mapInArrow(run, "lang string, source string, term string, n long")
-    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+
+def occurrences(docs: DataFrame, terms: dict[str, list[str]], name: str) -> DataFrame:
+    """lang, source, term and n, the occurrences in the group, of the given terms of each language (a part of bounded size)."""
+    rows = [(k, term) for k, term in enumerate(t for own in terms.values() for t in own)]
+    known = iter(range(len(rows)))
+    counts = _counted(docs, terms, {lang: [next(known) for _ in own] for lang, own in terms.items()}, name)
+    return counts.join(docs.sparkSession.createDataFrame(rows, "id long, term string"), "id").select("lang", "source", "term", "n")
 
 
 def postings(docs: DataFrame, kept: DataFrame, part: int = PART) -> DataFrame:
-    """lang, source, term and n of each kept term in each group that has it; kept is a written table."""
+    """lang, source, id and n of each kept term in each group that has it; kept is a written table of lang, term and id."""
     size = kept.agg(F.sum(F.length("term") + 2)).first()[0] or 0
     parts = -(-size // part)
     found = []
     for k in range(parts):
         own = kept.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == k)
         terms: dict[str, list[str]] = defaultdict(list)
+        ids: dict[str, list[int]] = defaultdict(list)
         for row in own.toLocalIterator():
             terms[row.lang].append(row.term)
-        table = occurrences(docs, dict(terms), uuid.uuid4().hex)
+            ids[row.lang].append(row.id)
+        table = _counted(docs, dict(terms), dict(ids), uuid.uuid4().hex)
         found.append(cut(table, "divergence-counts"))
     if not found:
-        return docs.sparkSession.createDataFrame([], "lang string, source string, term string, n long")
+        return docs.sparkSession.createDataFrame([], "lang string, source string, id long, n long")
     return reduce(DataFrame.unionByName, found)
 
 
@@ -185,7 +244,7 @@ def _common(lists: DataFrame) -> DataFrame:
 def pairs(groups: DataFrame, posts: DataFrame) -> DataFrame:
     """lang, source, item (each other source of the language) and value.
 
-    groups: lang, source, terms and empty (the probability of a term without occurrences), written; posts: lang, source, term, p, empty.
+    groups: lang, source, terms and empty (the probability of a term without occurrences), written; posts: lang, source, id, p, empty.
     """
     levels = groups.groupBy("lang", F.col("empty").alias("level")).agg(F.lit(1).alias("one")).drop("one")
     alike = posts.groupBy("lang", "source", "p", "empty").agg(F.count(F.lit(1)).alias("m"))
@@ -194,7 +253,7 @@ def pairs(groups: DataFrame, posts: DataFrame) -> DataFrame:
         F.sum(F.expr(f"m * ({divergence('level', 'p')} - {divergence('level', 'empty')})")).alias("as_second"),
     )
     own = cut(own, "divergence-levels")
-    lists = posts.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "empty")).alias("posts")).filter("size(posts) > 1").select("lang", "posts")
+    lists = posts.groupBy("lang", "id").agg(F.collect_list(F.struct("source", "p", "empty")).alias("posts")).filter("size(posts) > 1").select("lang", "posts")
     common = _common(lists)
     left = groups.select("lang", "source", "terms", F.col("empty").alias("p"))
     right = groups.select("lang", F.col("source").alias("other"), F.col("empty").alias("q"))
@@ -209,19 +268,21 @@ def pairs(groups: DataFrame, posts: DataFrame) -> DataFrame:
 def report(docs: DataFrame, least: int = LEAST, top: int = TOP, part: int = PART) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value and rank."""
     texts = grouped_texts(docs)
-    kept = cut(vocabulary(texts, least), "divergence-terms")
+    kept = with_ids(cut(vocabulary(texts, least), "divergence-terms"))
     counts = cut(postings(texts, kept, part), "divergence-postings")
     of_lang = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
     sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = texts.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(of_lang, "lang", "left").fillna(0, ["total", "terms"])
     groups = cut(groups.select("lang", "source", "total", "terms", probability("0", "total", "terms").alias("empty")), "divergence-groups")
-    posts = counts.join(groups, ["lang", "source"]).select("lang", "source", "term", probability("n", "total", "terms").alias("p"), "empty")
+    posts = counts.join(groups, ["lang", "source"]).select("lang", "source", "id", probability("n", "total", "terms").alias("p"), "empty")
     posts = cut(posts, "divergence-posts")
     all_of = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("terms").alias("terms"))
-    base = counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).join(all_of, "lang").select("lang", "term", probability("n", "total", "terms").alias("q"))
-    terms = posts.join(base, ["lang", "term"]).filter("p > q").select("lang", "source", F.col("term").alias("item"), F.expr(divergence("p", "q")).alias("value"))
+    base = counts.groupBy("lang", "id").agg(F.sum("n").alias("n")).join(all_of, "lang").select("id", probability("n", "total", "terms").alias("q"))
+    terms = posts.join(base, "id").filter("p > q").select("lang", "source", "id", F.expr(divergence("p", "q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    first = terms.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).withColumn("part", F.lit("term"))
+    by_id = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "id")
+    first = terms.withColumn("rank", F.row_number().over(by_id)).filter(F.col("rank") <= top).withColumn("part", F.lit("term"))
+    first = first.join(kept.select("id", F.col("term").alias("item")), "id")
     second = pairs(groups, posts).withColumn("rank", F.row_number().over(order)).withColumn("part", F.lit("pair"))
     names = ["lang", "source", "part", "item", "value", "rank"]
     return second.select(*names).unionByName(first.select(*names))
